@@ -36,9 +36,12 @@ def ascii_lower(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of maximal runs of anything but ASCII white space; 0 for null.
 
-    Runs of white space become one space each, so the words are one more than
+    White space becomes single spaces by plain replacements (a regular
+    expression only where two stand together), so the words are one more than
     the spaces that are left: no array of words is built.
     """
-    flat = F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
-    spaces = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
-    return F.when(F.coalesce(F.length(flat), F.lit(0)) == 0, F.lit(0)).otherwise(spaces + 1).cast("long")
+    flat = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    flat = F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat))
+    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")

@@ -22,8 +22,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
-
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
@@ -61,10 +59,12 @@ def _flat(text: Column) -> Column:
     """The words of a text with single spaces between them; empty without words.
 
     lower() also changes letters outside ASCII. Phrases and templates are ASCII,
-    so this matters only for the two letters that it turns into ASCII ones.
+    so this matters only for the two letters that it turns into ASCII ones;
+    another letter outside ASCII takes their place.
     """
     odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
-    return F.trim(F.regexp_replace(F.when(odd, ascii_lower(text)).otherwise(F.lower(text)), NOT_WORD, " "))
+    plain = F.when(odd, F.regexp_replace(text, "[\u0130\u212a]", "\u0131")).otherwise(text)
+    return F.lower(F.trim(F.regexp_replace(plain, NOT_WORD, " ")))
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:

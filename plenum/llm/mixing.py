@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import cut, n_words
 
 #: Weights dealt out to the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -65,7 +65,7 @@ def assigned(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: floa
     tables; when all sizes are 0 all targets and positions are 0.
     """
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(seed))
-    rows = rows.withColumn("b", F.pmod(F.col("_mx_h"), F.lit(BUCKETS)))
+    rows = cut(rows.withColumn("b", F.pmod(F.col("_mx_h"), F.lit(BUCKETS))))  # five small columns, read several times
     # Running totals in two levels: over the buckets of a source (BUCKETS rows at most), then inside each bucket.
     per = rows.groupBy("source", "b").agg(F.sum("size").alias("n"))
     targets = source_targets(per.withColumnRenamed("n", "size"), weights, budget, cap)
