@@ -45,3 +45,8 @@ def n_words(text: Column) -> Column:
         flat = F.replace(flat, F.lit(c), F.lit(" "))
     flat = F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat))
     return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Bounds the rows that go to a Python worker at once, for tables with very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -64,7 +64,7 @@ def _flat(text: Column) -> Column:
     """
     odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
     plain = F.when(odd, F.regexp_replace(text, "[\u0130\u212a]", "\u0131")).otherwise(text)
-    return F.lower(F.trim(F.regexp_replace(plain, NOT_WORD, " ")))
+    return F.trim(F.regexp_replace(F.lower(plain), NOT_WORD, " "))
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, secrets
+from . import bpe, exact_dedup, html, langid, licenses, mixing, quality, secrets
 from .common import table
 
 
@@ -10,6 +10,14 @@ def op1_secrets(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -18,12 +26,20 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark, sf_dir):
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secrets, op4_licenses, op6_mixing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_licenses, op6_mixing, op7_bpe, op8_exact_dedup, op9_html)}
 
 
 def oracle_sql():
