@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html, langid, licenses, mixing, quality, secrets
+from . import bpe, exact_dedup, html, langid, licenses, minhash, mixing, quality, secrets, substrings
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_licenses(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark, sf_dir):
+    return substrings.remove(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,12 @@ def op9_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_minhash(spark, sf_dir):
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_licenses, op6_mixing, op7_bpe, op8_exact_dedup, op9_html)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_licenses, op5_substrings, op6_mixing, op7_bpe, op8_exact_dedup, op9_html, op10_minhash)}
 
 
 def oracle_sql():
