@@ -37,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 40, 4
 #: Bits of the odd sketch, and the estimated similarity from which a pair is confirmed.
 BITS, SKETCH_LEAST = 512, 0.45
+#: Rounds of one pair per node before the exhaustive ones.
+MEETINGS = 6
 #: Members that are confirmed against one copy of their pivot.
 MEMBERS = 256
 
@@ -137,8 +139,11 @@ def link(docs: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("doc_id", "_th"), F.struct(F.col("doc_id").isNull(), "doc_id", "_th"))
     nodes = cut(some.groupBy("key").agg(first.alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("bands").alias("bands")))
     entries = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = cut(entries.join(shared, "bucket"))
+    # A text that many others derive from shares more buckets with more nodes than they do among themselves.
+    weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
+    members = cut(members.drop("size").join(weights, "key"))
     sketch = nodes.select("key", "n", "odd")
     names = members.select("key").distinct().join(nodes.select("key", "first.*"), "key")
     texts = cut(names.join(docs.select("doc_id", "text", F.xxhash64("text").alias("_th")), ["doc_id", "_th"]).select("key", "text").dropDuplicates(["key"]))
@@ -147,27 +152,47 @@ def link(docs: DataFrame) -> DataFrame:
         p = pairs.join(sketch.toDF("pivot", "p_n", "p_odd"), "pivot").join(sketch.toDF("key", "k_n", "k_odd"), "key")
         return cut(confirmed(p.filter(promising("p", "k")).select("pivot", "key"), texts))
 
-    # First round: each node against the least node that it shares a bucket with.
-    least = members.groupBy("bucket").agg(F.min("key").alias("pivot"))
-    pairs = members.join(least, "bucket").groupBy("key").agg(F.min("pivot").alias("pivot")).filter("pivot <> key")
-    seen = pairs = cut(pairs.select("pivot", "key"))
+    # First round: each node against the most central node that it shares a bucket with.
+    central = members.groupBy("bucket").agg(F.max(F.struct("weight", F.col("key").alias("pivot"))).alias("p"))
+    pairs = members.join(central, "bucket").groupBy("key").agg(F.max("p").alias("p")).select("p.pivot", "key").filter("pivot <> key")
+    pairs = cut(pairs)
+    seen = pairs.select(F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")).distinct()
     links = tested(pairs)
     labels = components(links)
-    # Then pivots from all but the largest connected part of each bucket, more of them each round.
-    done, step = None, 4
-    while True:
+    def split() -> DataFrame:
+        """The members of buckets that are in several parts, with the label of the largest."""
         now = cut(_labelled(members, labels))
         parts = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
         largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
-        split = now.join(largest, "bucket")
-        pivots = split.filter("label <> most").select("bucket", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
+        return now.join(largest, "bucket")
+
+    # A few rounds in which each node outside the largest part of a bucket meets one member of it: a pair per node and round.
+    for r in range(MEETINGS):
+        rest = split()
+        chance = -F.ln((F.pmod(F.xxhash64("key", F.lit(r)), F.lit(1_000_003)) + 1) / 1_000_004.0) / F.col("weight")  # central nodes more often
+        host = rest.filter("label = most").groupBy("bucket").agg(F.min_by("key", chance).alias("pivot"))
+        met = rest.filter("label <> most").select("bucket", "key").join(host, "bucket")
+        met = met.groupBy("key").agg(F.min_by("pivot", F.xxhash64("pivot", "key", F.lit(r))).alias("pivot")).select("pivot", "key")
+        pairs = cut(met.join(seen.union(seen.select("key", "pivot")), ["pivot", "key"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        seen = seen.union(pairs.select(F.least("pivot", "key"), F.greatest("pivot", "key"))).distinct()
+        more = tested(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+    # Then, so that no link is lost, pivots from all but the largest part of each bucket, more of them each round.
+    done, step = None, 4
+    while True:
+        rest = split()
+        pivots = rest.filter("label <> most").select("bucket", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
         if done is not None:
             pivots = pivots.join(done, ["bucket", "pivot"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("pivot"))
         pivots = cut(pivots.withColumn("rank", rank).filter(F.col("rank") <= step).drop("rank"))
         if pivots.isEmpty():
             break
-        pairs = split.join(pivots, "bucket").filter("label <> pivot_label").select("pivot", "key").distinct()
+        pairs = rest.join(pivots, "bucket").filter("label <> pivot_label").select("pivot", "key").distinct()
         ordered = pairs.select(F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")).distinct()
         pairs = cut(ordered.join(seen, ["pivot", "key"], "left_anti"))
         seen = seen.union(pairs)
