@@ -41,7 +41,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: Language ID, MinHash and BPE can't be written in SQL; the tests hold run() against a brute-force version.
+#: Language ID, MinHash and BPE can't be written in SQL; tests cover the first three stages together and the operators of all on their own.
 ORACLE_SQL = None
 
 
