@@ -8,6 +8,8 @@
    at a time and only between nodes that aren't yet connected, so large groups
    of near copies collapse after the first round and no bucket emits all its
    pairs at once; rounds go on until every bucket is connected or exhausted.
+   After the first round, nodes that by the shingles which they alone have can
+   reach no other node of a bucket leave it.
 3. The population count of the XOR of two odd sketches estimates the similarity;
    hopeless pairs go. The others are confirmed on the full sets, streamed
    against their pivot in tasks of bounded size.
@@ -37,8 +39,10 @@ SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 40, 4
 #: Bits of the odd sketch, and the estimated similarity from which a pair is confirmed.
 BITS, SKETCH_LEAST = 512, 0.45
-#: Rounds of one pair per node before the exhaustive ones.
-MEETINGS = 6
+#: Bits of the odd sketch of a whole set.
+PARITY = 1024
+#: Rounds of one pair per node before the exhaustive ones, and the pivots of a bucket in the first exhaustive one.
+MEETINGS, PIVOTS = 3, 8
 #: Members that are confirmed against one copy of their pivot.
 MEMBERS = 256
 
@@ -46,6 +50,7 @@ _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _SALT = mix(_RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64))
+PARITIES = ", ".join(f"w{i} long" for i in range(PARITY // 64))
 SKETCH = "n long, key binary, bands array<long>, odd array<long>"
 
 
@@ -92,6 +97,23 @@ def promising(a: str, b: str) -> Column:
     return (100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (bits <= most)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """An odd sketch of the whole set, not of its samples: two sets differ in at least as many elements as their sketches in bits."""
+    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64)
+
+
+def _parities(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    cache = WordHash()
+    for texts in batches:
+        yield pd.DataFrame([parity(shingles(t, cache)) for t in texts], columns=[f"w{i}" for i in range(PARITY // 64)])
+
+
+def _shingle_lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    cache = WordHash()
+    for texts in batches:
+        yield pd.Series([shingles(t, cache).view(np.int64) for t in texts])
+
+
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a task by pivot and deal, the pivot's text first: keeps one set and tests what follows against it."""
     cache, pivot, held = WordHash(), None, None
@@ -125,6 +147,41 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
+def _possible(one: str, other: str) -> Column:
+    """Whether two sets can reach the similarity (never false for sets that do).
+
+    What either has alone is in no intersection, and the sets differ in at
+    least as many elements as their parity words in bits.
+    """
+    n, m = F.col(f"{one}n"), F.col(f"{other}n")
+    both = F.least(F.col(f"{one}common"), F.col(f"{other}common"), n, m)
+    apart = F.lit(0)
+    for i in range(PARITY // 64):
+        apart = apart + F.bit_count(F.col(f"{one}parity.w{i}").bitwiseXOR(F.col(f"{other}parity.w{i}")))
+    # 100 both >= 75 (n + m - both), with both = (n + m - apart) / 2
+    return (100 * both >= SIMILARITY * (n + m - both)) & ((100 + SIMILARITY) * (n + m - apart) >= 2 * SIMILARITY * (n + m))
+
+
+def _open(entries: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """entries: bucket, key, ... The entries that can have a link within their bucket, with n, common and parity.
+
+    A shingle that one node alone has can be in no intersection, so common, the
+    number of the others, bounds every intersection of the node; the smallest
+    set of the bucket (and the similarity itself) bounds its partners' sizes.
+    Variants that each went their own way from one text end here, one by one:
+    no pairs are made of them.
+    """
+    nodes = entries.select("key").distinct()
+    sets = nodes.join(texts, "key").select(F.xxhash64("key").alias("node"), F.explode(F.pandas_udf(_shingle_lists, "array<long>")("text")).alias("h"))
+    alone = sets.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    known = nodes.withColumn("node", F.xxhash64("key")).join(alone, "node", "left").join(sizes, "key").join(texts.select("key", "parity"), "key")
+    known = cut(known.select("key", "n", "parity", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
+    rows = cut(entries.join(known, "key"))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.col("common"), F.ceil(F.col("n") * SIMILARITY / 100))
+    return rows.join(least, "bucket").filter(100 * F.col("common") >= SIMILARITY * (F.col("n") + partner - F.col("common")))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, and _th (hash of the text), _keep (one row of each component).
 
@@ -146,7 +203,7 @@ def link(docs: DataFrame) -> DataFrame:
     members = cut(members.drop("size").join(weights, "key"))
     sketch = nodes.select("key", "n", "odd")
     names = members.select("key").distinct().join(nodes.select("key", "first.*"), "key")
-    texts = cut(names.join(docs.select("doc_id", "text", F.xxhash64("text").alias("_th")), ["doc_id", "_th"]).select("key", "text").dropDuplicates(["key"]))
+    texts = cut(names.join(docs.select("doc_id", "text", F.xxhash64("text").alias("_th")), ["doc_id", "_th"]).dropDuplicates(["key"]).select("key", "text", F.pandas_udf(_parities, PARITIES)("text").alias("parity")))
 
     def tested(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sketch.toDF("pivot", "p_n", "p_odd"), "pivot").join(sketch.toDF("key", "k_n", "k_odd"), "key")
@@ -166,13 +223,15 @@ def link(docs: DataFrame) -> DataFrame:
         largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
         return now.join(largest, "bucket")
 
+    # Entries whose node can't reach the similarity with anything in the bucket go; what is left of each bucket goes on.
+    members = cut(_open(split(), sketch.select("key", "n"), texts).select("bucket", "key", "weight", "n", "common", "parity"))
     # A few rounds in which each node outside the largest part of a bucket meets one member of it: a pair per node and round.
     for r in range(MEETINGS):
         rest = split()
         chance = -F.ln((F.pmod(F.xxhash64("key", F.lit(r)), F.lit(1_000_003)) + 1) / 1_000_004.0) / F.col("weight")  # central nodes more often
-        host = rest.filter("label = most").groupBy("bucket").agg(F.min_by("key", chance).alias("pivot"))
-        met = rest.filter("label <> most").select("bucket", "key").join(host, "bucket")
-        met = met.groupBy("key").agg(F.min_by("pivot", F.xxhash64("pivot", "key", F.lit(r))).alias("pivot")).select("pivot", "key")
+        host = rest.filter("label = most").groupBy("bucket").agg(F.min_by(F.struct("key", "n", "common", "parity"), chance).alias("host"))
+        met = rest.filter("label <> most").join(host, "bucket").filter(_possible("", "host."))
+        met = met.groupBy("key").agg(F.min_by("host.key", F.xxhash64("host.key", "key", F.lit(r))).alias("pivot")).select("pivot", "key")
         pairs = cut(met.join(seen.union(seen.select("key", "pivot")), ["pivot", "key"], "left_anti"))
         if pairs.isEmpty():
             break
@@ -182,17 +241,17 @@ def link(docs: DataFrame) -> DataFrame:
             links = links.union(more)
             labels = components(links)
     # Then, so that no link is lost, pivots from all but the largest part of each bucket, more of them each round.
-    done, step = None, 4
+    done, step = None, PIVOTS
     while True:
         rest = split()
-        pivots = rest.filter("label <> most").select("bucket", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
+        pivots = rest.filter("label <> most").select("bucket", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"), *(F.col(c).alias(f"pivot_{c}") for c in ("n", "common", "parity")))
         if done is not None:
             pivots = pivots.join(done, ["bucket", "pivot"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("pivot"))
         pivots = cut(pivots.withColumn("rank", rank).filter(F.col("rank") <= step).drop("rank"))
         if pivots.isEmpty():
             break
-        pairs = rest.join(pivots, "bucket").filter("label <> pivot_label").select("pivot", "key").distinct()
+        pairs = rest.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & _possible("", "pivot_")).select("pivot", "key").distinct()
         ordered = pairs.select(F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")).distinct()
         pairs = cut(ordered.join(seen, ["pivot", "key"], "left_anti"))
         seen = seen.union(pairs)
@@ -201,7 +260,7 @@ def link(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        step *= 4
+        step *= 16
     # Components by their smallest document.
     at = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = at.groupBy("label").agg(F.min_by("first", F.struct(F.col("first.doc_id").isNull(), "first")).alias("c"))
