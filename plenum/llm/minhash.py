@@ -42,7 +42,7 @@ BITS, SKETCH_LEAST = 512, 0.45
 #: Bits of the odd sketch of a whole set.
 PARITY = 1024
 #: Rounds of one pair per node before the exhaustive ones, and the pivots of a bucket in the first exhaustive one.
-MEETINGS, PIVOTS = 3, 8
+MEETINGS, PIVOTS = 1, 256
 #: Members that are confirmed against one copy of their pivot.
 MEMBERS = 256
 
@@ -260,6 +260,8 @@ def link(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
+        if pivots.groupBy("bucket").count().filter(F.col("count") >= step).isEmpty():
+            break
         step *= 16
     # Components by their smallest document.
     at = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
