@@ -1,9 +1,12 @@
 """License scan: fixed phrases, and a set-similarity join of text blocks with license templates.
 
-Blocks are the non-empty lines of a text. A template is found in a block if the
-block holds at least ``threshold`` of the template's distinct words. The join is
-exact: the words of a template are ordered by their frequency over all
-documents, the rarest first, and
+Blocks are the paragraphs of a text (runs of lines with words, so a wrapped
+paragraph is the same block as one on a single line) and, as a notice may go on
+after an empty line, overlapping windows over all its words: every run of words
+twice as long as the longest template lies in one of them. A template is found
+in a block if the block holds at least ``threshold`` of the template's distinct
+words. The join is exact: the words of a template are ordered by their frequency
+over all documents, the rarest first, and
 
 * prefix filter: a block without any of the |T| - need + 1 rarest words of T can't reach ``need``;
 * length filter: a block with fewer than ``need`` words can't either;
@@ -49,10 +52,14 @@ THRESHOLD = 0.9
 MOST_WORDS = 20_000
 
 
-def _words(text: str) -> list[str]:
+def _sequence(text: str) -> list[str]:
     import re
 
-    return list(dict.fromkeys(w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text)) if w))
+    return [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+
+
+def _words(text: str) -> list[str]:
+    return list(dict.fromkeys(_sequence(text)))
 
 
 def _flat(text: Column) -> Column:
@@ -75,6 +82,18 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: counts.get(w, 0) for w in vocabulary}
 
 
+def _blocks(text: Column, flat: Column, longest: int) -> Column:
+    """Arrays of words: the paragraphs of a text, and if there are several the windows over all its words.
+
+    A window starts every ``longest`` words and is three times as long.
+    """
+    lines = F.transform(F.split(text, "\n"), _flat)
+    paragraphs = F.transform(F.filter(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda p: p != ""), lambda p: F.split(F.trim(F.replace(p, F.lit("\n"), F.lit(" "))), " "))
+    words = F.split(flat, " ")
+    windows = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(longest)), lambda i: F.slice(words, i, 3 * longest))
+    return F.when(F.regexp_like(F.array_join(lines, "\n"), F.lit("[^\n]\n{2,}[^\n]")), F.concat(paragraphs, windows)).otherwise(paragraphs)
+
+
 def _similar(block: Column, words: list[str], need: int) -> Column:
     """block: array of distinct words. The shared fraction of a template's words, null below need."""
     prefix = words[: len(words) - need + 1]
@@ -114,13 +133,13 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     ordered = [(label, sorted(ws, key=lambda w: (often[w], w)), math.ceil(threshold * len(ws) - 1e-9)) for label, ws in sets]
     rare = sorted({w for _, ws, need in ordered for w in ws[: len(ws) - need + 1]})
     any_rare = F.array(*[F.lit(w) for w in rare])
-    lines = F.filter(F.split("text", "\n"), lambda line: line != "")
-    blocks = F.filter(F.transform(lines, lambda line: F.array_distinct(F.split(_flat(line), " "))), lambda b: F.arrays_overlap(b, any_rare))
+    longest = max(1, *(len(_sequence(t)) for _, t in templates))
+    blocks = F.transform(F.filter(_blocks(F.col("text"), F.col("flat"), longest), lambda b: F.arrays_overlap(b, any_rare)), F.array_distinct)
     may = reduce(lambda a, b: a | b, [F.contains(padded, F.lit(f" {w} ")) for w in rare])
     blocks = F.when(may, blocks).otherwise(F.array().cast("array<array<string>>"))
     best = F.transform("blocks", lambda b: F.array(*[F.struct(F.lit(label).alias("label"), F.coalesce(_similar(b, ws, need), F.lit(0.0)).alias("score")) for label, ws, need in ordered]))
     none = F.array().cast("array<struct<label:string,score:double>>")
-    found = F.when(F.size("blocks") > 0, F.filter(F.flatten(best), lambda x: x["score"] > 0)).otherwise(none)
+    found = F.when(F.size("blocks") > 0, F.array_distinct(F.filter(F.flatten(best), lambda x: x["score"] > 0))).otherwise(none)
     rows = rows.withColumns({"n_words": n_words.cast("long"), "places": F.concat(*[places(p, label) for p, label in phrases]), "blocks": blocks})
     return rows.select("doc_id", "n_words", "places", found.alias("found"))
 
