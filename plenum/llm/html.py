@@ -5,7 +5,10 @@ never content (menus, forms, adverts, ...) are left out as they open. Each
 remaining block has a text-to-tag ratio; the ratios are smoothed with a
 Gaussian, and blocks above the threshold seed the content regions: a region is
 the article or main element that holds a seed, or, on pages without such
-elements, everything from the first to the last seed.
+elements, all of the nearest container (a div, for instance) that holds every
+seed and more than one block, so that short headings and paragraphs beside the
+seeds belong to it. If it has no heading, and its parent has one right in it
+before, the parent takes its place.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ BOILERPLATE = frozenset("script style noscript template iframe object svg canvas
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 BOILERPLATE_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[^a-z])")
 CONTAINER = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a part of the text around them; any other that isn't inline is a container of blocks.
+PARTS = HEADINGS | frozenset("address blockquote caption colgroup dd details dl dt figcaption figure hgroup li ol p pre summary table tbody tfoot thead tr ul".split())
 #: Width of the Gaussian in blocks, and the threshold as a fraction of the mean smoothed ratio.
 SIGMA, THRESHOLD = 1.0, 0.5
 
@@ -34,14 +40,15 @@ SIGMA, THRESHOLD = 1.0, 0.5
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is boilerplate, container
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, whether it or one around it is boilerplate, article or main element, container
         self.text: list[str] = []
-        self.blocks: list[tuple[str, int, int]] = []  # text, tags, container
+        self.blocks: list[tuple[str, int, int, int, bool]] = []  # text, tags, article or main element, container, whether a heading
+        self.around = [0]  # the container around each container; 0 is the page
         self.tags, self.containers = 0, 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            self.blocks.append((text, self.tags, self.open[-1][2] if self.open else 0))
+            self.blocks.append((text, self.tags, *(self.open[-1][2:] if self.open else (0, 0)), any(t in HEADINGS for t, *_ in self.open)))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -51,12 +58,12 @@ class _Blocks(HTMLParser):
                 self.text.append(" ")
         else:
             self.flush()
-            if any(t == "p" for t, _, _ in self.open):
+            if any(t == "p" for t, *_ in self.open):
                 self.leave("p", unless=CONTAINER)
         if tag in VOID:
             return
         skip = bool(self.open and self.open[-1][1])
-        inside = self.open[-1][2] if self.open else 0
+        inside, node = self.open[-1][2:] if self.open else (0, 0)
         if not skip:
             skip = tag in BOILERPLATE or tag == "header" and not inside
             if not skip and tag not in ("html", "body"):
@@ -65,7 +72,10 @@ class _Blocks(HTMLParser):
         if tag in CONTAINER and not inside:
             self.containers += 1
             inside = self.containers
-        self.open.append((tag, skip, inside))
+        if tag not in INLINE and tag not in PARTS and tag not in ("html", "body"):
+            self.around.append(node)
+            node = len(self.around) - 1
+        self.open.append((tag, skip, inside, node))
 
     def leave(self, tag, unless=()):
         for i in range(len(self.open) - 1, -1, -1):
@@ -88,6 +98,36 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
+def _region(around: list[int], held: list[int], headings: list[bool], seeds: list[int]) -> set[int]:
+    """The containers of the region: around has the parent of each container, which comes before it; held the container of each block."""
+
+    count = [0] * len(around)  # of blocks in each container
+    for c in held:
+        count[c] += 1
+    for c in range(len(around) - 1, 0, -1):
+        count[around[c]] += count[c]
+    top = held[seeds[0]]
+    for i in seeds[1:]:
+        other = held[i]
+        while top != other:  # parents come before their children
+            top, other = (around[top], other) if top > other else (top, around[other])
+    while top and count[top] < 2:
+        top = around[top]
+
+    def within(top: int) -> set[int]:
+        found = {top}
+        for c in range(top + 1, len(around)):
+            if around[c] in found:
+                found.add(c)
+        return found
+
+    region = within(top)
+    first = next(i for i, c in enumerate(held) if c in region)
+    if top and not any(h for c, h in zip(held, headings, strict=True) if c in region) and any(h and c == around[top] for c, h in zip(held[:first], headings, strict=False)):
+        region = within(around[top])
+    return region
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page, blocks joined by an empty line; empty for null, and if there is none."""
     parser = _Blocks()
@@ -97,15 +137,16 @@ def main_text(page: str | None) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
-    ratio = np.array([len(t) / (1 + n) for t, n, _ in blocks])
+    ratio = np.array([len(t) / (1 + n) for t, n, *_ in blocks])
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), "valid")
     seeds = np.flatnonzero(smooth >= THRESHOLD * smooth.mean())
     regions = {blocks[i][2] for i in seeds} - {0}
     if regions:
-        return "\n\n".join(t for t, _, c in blocks if c in regions)
-    return "\n\n".join(t for t, _, _ in blocks[seeds[0] : seeds[-1] + 1])
+        return "\n\n".join(t for t, _, c, *_ in blocks if c in regions)
+    region = _region(parser.around, [b[3] for b in blocks], [b[4] for b in blocks], seeds.tolist())
+    return "\n\n".join(b[0] for b in blocks if b[3] in region)
 
 
 def _texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
