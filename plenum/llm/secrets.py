@@ -1,6 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long tokens.
 
-Every step is a built-in expression. A token's encoding is inferred from its
+Every step is a built-in expression. Tokens are whole runs of the characters of
+common encodings, and the parts of such runs between / _ and -, as a path or a
+name may stand before a secret. A token's encoding is inferred from its
 characters; then four statistics are computed over that alphabet: chi-squared
 uniformity, the runs test about the middle of the alphabet, the lag-one serial
 correlation, and the number of equal character pairs against what written
@@ -27,9 +29,11 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 12
 
-#: Candidates of the battery: whole runs of the characters of common encodings.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Pattern and alphabet of each encoding, the narrowest first.
+#: Candidates of the battery: whole runs of the characters of common encodings; they end at "=", after it if it is padding.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: What may join a token to the path or the name before it.
+JOINT = "[/_-]"
+#: Pattern and alphabet of each encoding, the narrowest first; the last holds every run.
 ENCODINGS = (
     ("[0-9]+", "0123456789"),
     ("[0-9a-f]+", "0123456789abcdef"),
@@ -41,6 +45,7 @@ ENCODINGS = (
     ("[A-Za-z0-9]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("[A-Za-z0-9+/]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("[A-Za-z0-9_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("[A-Za-z0-9+/_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 #: Probability that two letters of written language are equal, and its least multiple of the uniform one.
 LANGUAGE_PAIRS, LEAST_EXCESS = 0.066, 2.0
@@ -75,6 +80,22 @@ def spans(text: Column, pattern: str, keep=None, may: Column | None = None) -> C
     return F.when(has if may is None else may & has, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
+def with_parts(tokens: Column) -> Column:
+    """Array of (start, end, token) -> the same and, after each token, its parts between joints that are long enough."""
+    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+
+    def parts(t: Column) -> Column:
+        def step(acc: Column, part: Column) -> Column:
+            end = acc["at"] + F.length(part)
+            one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("token")))
+            return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.when(F.length(part) >= STRATA[0], one).otherwise(none)).alias("out"))
+
+        start = F.struct(t["start"].alias("at"), none.alias("out"))
+        return F.when(F.regexp_like(t["token"], F.lit(JOINT)), F.aggregate(F.split(t["token"], JOINT), start, step, lambda acc: acc["out"])).otherwise(none)
+
+    return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), parts(t))))
+
+
 def tail(z: Column) -> Column:
     """Upper tail of the normal distribution, to about two digits."""
     x = F.abs(z)
@@ -164,7 +185,7 @@ def scan(docs: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
         spans(text, ASSIGN, keep=lambda m: F.length(value(m)) >= MIN_VALUE, may=F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))).alias("assign"),
         spans(text, ACCESS, may=F.contains(text, F.lit("AKIA"))).alias("access"),
         spans(text, HEX).alias("hex"),
-        battery(spans(text, TOKEN)).alias("candidates"),
+        battery(with_parts(spans(text, TOKEN))).alias("candidates"),
     )
     found = cut(found)  # a few spans per document: both the counts and the spans are read from it
     limit = thresholds(found, fdr).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))).alias("limit"))
@@ -172,7 +193,10 @@ def scan(docs: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
     base = F.concat(*[_of_kind(k, i) for i, k in enumerate(KINDS[:3])])
     found = found.withColumn("base", F.array_sort(base))
     is_random = lambda c: (c["p_random"] >= alpha) & F.coalesce(_step(c["p_language"]) >= F.col("limit")[c["stratum"]], F.lit(False)) & ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    more = F.transform(F.filter("candidates", is_random), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"), F.lit("").alias("token")))
+    found = found.withColumn("chosen", F.filter("candidates", is_random))
+    # A part of a run that is reported as a whole says nothing more.
+    inside = lambda c, d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])
+    more = F.transform(F.filter("chosen", lambda c: ~F.exists("chosen", lambda d: inside(c, d))), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"), F.lit("").alias("token")))
     return found.select("doc_id", "assign", "access", "hex", "base", F.array_sort(F.concat("base", more)).alias("found"))
 
 
