@@ -188,7 +188,8 @@ def link(docs: DataFrame) -> DataFrame:
     Null and empty texts, and those without words, have no shingles and are
     linked with nothing. Rows may repeat: they share a component, and so do
     their kept flags; _keep holds for the rows of one (doc_id, text) only.
-    component_id is the smallest doc_id that can be reached (nulls last).
+    component_id is the smallest doc_id that can be reached (nulls last); where
+    that is null, the rows of one text are kept.
     """
     small_batches(docs.sparkSession)
     rows = cut(docs.select("doc_id", F.xxhash64("text").alias("_th"), F.pandas_udf(_sketches, SKETCH)("text").alias("s")).select("doc_id", "_th", "s.*"))
@@ -202,8 +203,9 @@ def link(docs: DataFrame) -> DataFrame:
     weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
     members = cut(members.drop("size").join(weights, "key"))
     sketch = nodes.select("key", "n", "odd")
-    names = members.select("key").distinct().join(nodes.select("key", "first.*"), "key")
-    texts = cut(names.join(docs.select("doc_id", "text", F.xxhash64("text").alias("_th")), ["doc_id", "_th"]).dropDuplicates(["key"]).select("key", "text", F.pandas_udf(_parities, PARITIES)("text").alias("parity")))
+    names = members.select("key").distinct().join(nodes.select("key", F.col("first.doc_id").alias("d"), F.col("first._th").alias("t")), "key")
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    texts = cut(names.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_th"))).dropDuplicates(["key"]).select("key", "text", F.pandas_udf(_parities, PARITIES)("text").alias("parity")))
 
     def tested(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sketch.toDF("pivot", "p_n", "p_odd"), "pivot").join(sketch.toDF("key", "k_n", "k_odd"), "key")
@@ -271,7 +273,8 @@ def link(docs: DataFrame) -> DataFrame:
     alone = F.col("key").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("c.doc_id"))
     keep = alone | (component.eqNullSafe(F.col("doc_id")) & (F.col("c._th") == F.col("_th")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "_th", keep.alias("_keep"))
+    kept = component.eqNullSafe(F.col("doc_id")) & (F.col("doc_id").isNotNull() | keep)  # a null names no row
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "_th", keep.alias("_keep"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
