@@ -173,7 +173,13 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told, with the columns of docs (the name _li_p is taken)."""
+    """The rows of docs whose language can be told, with the columns of docs (the name _li_p is taken).
+
+    If nothing can be learnt, all rows with letters.
+    """
     small_batches(docs.sparkSession)
-    predict = predictor(docs.sparkSession, learn(docs))
+    samples = learn(docs)
+    if not samples:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
+    predict = predictor(docs.sparkSession, samples)
     return docs.withColumn("_li_p", predict("text")).filter(F.col("_li_p.lang_pred") != "und").drop("_li_p")
