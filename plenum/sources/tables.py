@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,14 @@ def as_json(table: DataFrame) -> DataFrame:
 
 def write_json(table: DataFrame, path: str) -> None:
     table.write.mode("errorifexists").json(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the driver and all executors see; a local one only where all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/plenum-checkpoint"
+    return folder.rstrip("/")
