@@ -72,3 +72,36 @@ def facets(table: DataFrame, **chosen: str | Sequence[str]) -> DataFrame:
         if value and value != "All":
             table = table.filter(F.col(c) == value if isinstance(value, str) else F.col(c).isin(list(value)))
     return table
+
+
+def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """table and rows; columns that rows lack are null."""
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
+def updated(table: DataFrame, wanted: Column, **values: Column) -> DataFrame:
+    """Sets columns where the condition holds, by literals or expressions over the old row; all see the old values."""
+    met = F.coalesce(wanted, F.lit(False))
+    return table.withColumns({c: F.when(met, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def patched(table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Dynamic update: for rows whose key is in changes (once each), the columns that are not null there replace the old values."""
+    new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    joined = table.join(new, key, "left").withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns})
+    return joined.select(table.columns)
+
+
+def deleted(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """table without the rows whose key is in keys."""
+    return table.join(keys.select(*on), list(on), "left_anti").select(table.columns)
+
+
+def as_map(rows: DataFrame, owner: str, key: str, value: str) -> DataFrame:
+    """owner, entries: a map from key to value for each owner. Keys of one owner are expected once each."""
+    return rows.groupBy(owner).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("entries"))
+
+
+def lists_by(rows: DataFrame, owner: str, value: str, **wanted: Column) -> DataFrame:
+    """owner, and for each condition the sorted array of values of the rows that meet it, in one pass."""
+    return rows.groupBy(owner).agg(*(F.array_sort(F.collect_list(F.when(c, F.col(value)))).alias(name) for name, c in wanted.items()))
