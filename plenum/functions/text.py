@@ -94,3 +94,17 @@ def compact(n: Column) -> Column:
 
 def plural(n: Column) -> Column:
     return F.when(n == 1, "").otherwise("s")
+
+
+def compact_plain(n: Column) -> Column:
+    """As compact(), but rounded before ``.0`` goes, and with thousands separators below 1000."""
+
+    def short(unit: int, letter: str) -> Column:
+        return F.concat(F.regexp_replace(F.format_string("%.1f", F.round(n / unit, 1)), r"\.0$", ""), F.lit(letter))
+
+    return F.when(n >= 1_000_000, short(1_000_000, "M")).when(n >= 1000, short(1000, "K")).otherwise(F.format_number(n, 0))
+
+
+def uri_encoded(text: Column) -> Column:
+    """Percent encoding, a space as %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
