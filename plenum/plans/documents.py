@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.operators import nested
-from plenum.sources.tables import read
+from plenum.sources.tables import read, shared_folder
 from plenum.streaming import conversations
 
 
@@ -35,8 +34,13 @@ def reaction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def starting_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least price of each brand's packages."""
-    brands = read(spark, sf_dir, "part").withColumn("price", F.col("p_retailprice")).groupBy("p_brand").agg(F.collect_list(F.struct("price")).alias("packages"))
-    return brands.select(F.col("p_brand").alias("brand"), nested.starting_price(F.col("packages")).alias("price"))
+    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_retailprice").alias("price"))
+
+
+def package_starting_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least price in each conference's array of packages."""
+    packages = F.array(*(F.struct((F.col("p_retailprice") * k).alias("price")) for k in (2, 1, 3)))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), nested.starting_price(packages).alias("price"))
 
 
 def reviewer_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,15 +55,42 @@ def committee_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.select(F.col("s_suppkey").alias("id"), F.least(F.lit(98), 95 - 6 * (F.col("rank") - 1)).alias("score"))
 
 
-def message_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation state from a stream over the events, run until all of them are read; written to the shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/plenum-checkpoint'}/{uuid.uuid4().hex}"
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of messages and reads."""
     schema = read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    messages = events.select(F.col("user_id").alias("partner_id"), F.col("event_type").alias("text"), F.col("ts").alias("created_at"), (F.col("event_type") == "view").alias("thread_open"))
-    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/state")
-    conversations.state(messages).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/state")
+    kind = F.when(F.col("event_type") == "view", "read").otherwise(conversations.MESSAGE)
+    return events.select(kind.alias("type"), F.col("user_id").cast("string").alias("partner_id"), F.col("event_type").alias("text"), F.col("ts").alias("created_at"), (F.col("event_type") == "view").alias("thread_open"))
+
+
+def _kept(stream: DataFrame, mode: str) -> DataFrame:
+    """The rows of all batches with batch, their number, written to the shared folder; runs at once."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    conversations.run_to_end(stream, folder, mode, lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/rows"))
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def message_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation state from a stream over the events: each batch writes the keys that it changed, and the newest row of each key counts."""
+    return conversations.latest_of_updates(_kept(conversations.state(_events(spark, sf_dir)), "update"))
+
+
+def message_stream_with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation state where reading a thread sets its unread count back."""
+    return conversations.latest_of_updates(_kept(conversations.state_with_resets(_events(spark, sf_dir)), "update"))
+
+
+def message_stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of open threads, appended as they come, dealt by receiver."""
+    sent = _events(spark, sf_dir).filter("type = 'message'").withColumn("to", F.col("partner_id"))
+    return _kept(sent, "append").select("to", "text", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def fresh_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached answers of the last hour before the end of January 2024, by normalised query."""
+    rows = read(spark, sf_dir, "events").select(F.concat(F.lit(" "), F.initcap("event_type"), F.lit(" ")).alias("query"), F.col("event_id").alias("answer"), F.col("ts").alias("fetched_at"))
+    return conversations.fresh(rows.filter("fetched_at <= TIMESTAMP '2024-01-15 12:00:00'"), F.expr("TIMESTAMP '2024-01-15 12:00:00'"), 36000)
 
 
 QUERIES = {
@@ -67,9 +98,13 @@ QUERIES = {
     "agenda_days": (agenda_days, "SELECT CAST(o_orderdate AS DATE) AS date, dayname(CAST(o_orderdate AS DATE)) AS day_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS sessions FROM orders GROUP BY CAST(o_orderdate AS DATE)"),
     "reaction_totals": (reaction_totals, "SELECT 'l_linenumber' AS reaction, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem UNION ALL SELECT 'l_quantity', CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) FROM lineitem"),
     "starting_prices": (starting_prices, "SELECT p_brand AS brand, min(p_retailprice) AS price FROM part GROUP BY p_brand"),
+    "package_starting_prices": (package_starting_prices, "SELECT p_partkey AS id, p_retailprice AS price FROM part"),
+    "message_stream_with_resets": (message_stream_with_resets, "SELECT CAST(e.user_id AS VARCHAR) AS partner_id, arg_max(event_type, ts) FILTER (WHERE event_type <> 'view') AS last_message, max(ts) FILTER (WHERE event_type <> 'view') AS last_time, count(*) FILTER (WHERE event_type <> 'view' AND (seen IS NULL OR ts > seen)) AS unread FROM events e LEFT JOIN (SELECT user_id, max(ts) AS seen FROM events WHERE event_type = 'view' GROUP BY 1) r ON r.user_id = e.user_id GROUP BY e.user_id"),
+    "message_stream_threads": (message_stream_threads, "SELECT CAST(user_id AS VARCHAR) AS \"to\", event_type AS text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type <> 'view'"),
+    "fresh_answers": (fresh_answers, "SELECT event_type AS query, arg_max(event_id, ts) AS answer FROM events WHERE ts > TIMESTAMP '2024-01-15 02:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY event_type"),
     "reviewer_ranks": (reviewer_ranks, "SELECT s_suppkey AS id, least(97, 94 - 5 * (row_number() OVER (ORDER BY s_suppkey) - 1)) AS score FROM supplier WHERE s_name <> 'Supplier#000000002'"),
     "committee_ranks": (committee_ranks, "SELECT s_suppkey AS id, least(98, 95 - 6 * (row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1)) AS score FROM supplier"),
-    "message_stream_state": (message_stream_state, "SELECT user_id AS partner_id, split_part(max(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '|' || event_type), '|', 2) AS last_message, max(ts) AS last_time, count(*) FILTER (WHERE event_type <> 'view') AS unread FROM events GROUP BY user_id"),
+    "message_stream_state": (message_stream_state, "SELECT CAST(user_id AS VARCHAR) AS partner_id, split_part(max(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '|' || event_type), '|', 2) AS last_message, max(ts) AS last_time, count(*) FILTER (WHERE event_type <> 'view') AS unread FROM events GROUP BY user_id"),
 }
 
 

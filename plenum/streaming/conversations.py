@@ -1,20 +1,98 @@
-"""Conversation state kept from a stream of message events."""
+"""Conversation state, thread logs and delivery from a stream of message events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "struct<type:string,partner_id:string,text:string,created_at:timestamp,thread_open:boolean>"
+#: Kinds of events: a message, and what sets a thread's unread count back.
+MESSAGE, RESETS = "message", ("open", "read")
+STATE = "last_message string, last_time timestamp, unread long, read_time timestamp"
+
+
+def frames(raw: DataFrame, *kinds: str) -> DataFrame:
+    """raw: value (JSON text). The events of these kinds; malformed frames and other kinds are dropped."""
+    parsed = raw.select(F.from_json("value", EVENT).alias("e")).select("e.*")
+    return parsed.filter(F.col("type").isin(*kinds) & F.col("partner_id").isNotNull())
 
 
-def messages(frames: DataFrame) -> DataFrame:
-    """frames: value (JSON text). The message events; malformed frames and other types are dropped."""
-    parsed = frames.select(F.from_json("value", EVENT).alias("e")).select("e.*")
-    return parsed.filter((F.col("type") == "message") & F.col("partner_id").isNotNull())
+def messages(raw: DataFrame) -> DataFrame:
+    return frames(raw, MESSAGE)
 
 
 def state(events: DataFrame) -> DataFrame:
-    """partner_id, last_message, last_time, unread; a streaming or a batch frame. Messages of an open thread count as read."""
+    """partner_id, last_message, last_time, unread; a streaming or a batch frame. Messages of an open thread count as read.
+
+    Aggregates only, so that every part of a key's events is reduced before the shuffle. In update mode each batch writes the keys that it changed.
+    """
     latest = F.max(F.struct("created_at", "text"))
     return events.groupBy("partner_id").agg(latest["text"].alias("last_message"), F.max("created_at").alias("last_time"), F.count_if(~F.coalesce("thread_open", F.lit(False))).alias("unread"))
+
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    text, last, unread, read = held.get if held.exists else (None, None, 0, None)
+    came = pd.concat(batches, ignore_index=True).sort_values(["created_at", "text"], kind="stable", na_position="first")
+    resets = came.loc[came["type"] != MESSAGE, "created_at"]
+    if len(resets) and (read is None or resets.max() > read):
+        read, unread = resets.max().to_pydatetime(), 0 if last is None or resets.max() >= last else unread
+    sent = came[came["type"] == MESSAGE]
+    if len(sent):
+        unread += int(len(sent) if read is None else (sent["created_at"] > read).sum())
+        if last is None or sent["created_at"].iloc[-1] >= last:
+            text, last = sent["text"].iloc[-1], sent["created_at"].iloc[-1].to_pydatetime()
+    held.update((text, last, unread, read))
+    yield pd.DataFrame({"partner_id": [key[0]], "last_message": [text], "last_time": [last], "unread": [unread]})
+
+
+def state_with_resets(events: DataFrame) -> DataFrame:
+    """partner_id, last_message, last_time, unread of a streaming frame of messages and resets (type, partner_id, text, created_at); in update mode.
+
+    A reset sets the count back; messages after it, by time, count again. Within
+    a batch events may come in any order; a batch that arrives late counts its
+    messages against the last reset. A key's events of one batch are sorted in
+    memory, so the source's batches should be bounded (maxFilesPerTrigger).
+    """
+    rows = events.select("partner_id", "type", "text", "created_at").groupBy("partner_id")
+    out = "partner_id string, last_message string, last_time timestamp, unread long"
+    return rows.applyInPandasWithState(_advance, out, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_of_updates(updates: DataFrame) -> DataFrame:
+    """The newest row of each key from the rows of all batches (batch: their number)."""
+    newest = F.max_by(F.struct("last_message", "last_time", "unread"), "batch")
+    return updates.groupBy("partner_id").agg(newest.alias("s")).select("partner_id", "s.*")
+
+
+def routed(events: DataFrame) -> DataFrame:
+    """Events dealt by receiver (to) and in order, for delivery."""
+    return events.repartition("to").sortWithinPartitions("to", "created_at")
+
+
+def deliver(batch: DataFrame, send: Callable[[str, dict], None]) -> None:
+    """Sends each event of a batch to its receiver from the executors, in order; a failure is dropped with its event (at most once)."""
+
+    def each(rows: Iterator) -> None:
+        for r in rows:
+            try:
+                send(r["to"], r.asDict())
+            except Exception:  # noqa: BLE001 the receiver may be gone
+                continue
+
+    routed(batch).foreachPartition(each)
+
+
+def run_to_end(stream: DataFrame, folder: str, mode: str, keep: Callable[[DataFrame, int], None]) -> None:
+    """Runs a stream until its source is read, each batch through keep; its log in folder."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+def fresh(answers: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
+    """The newest answer (query, answer, fetched_at) of each normalised query that isn't older than that; a cache with a time to live."""
+    key = F.lower(F.trim("query"))
+    kept = answers.filter(F.col("fetched_at") > now - F.make_dt_interval(secs=F.lit(seconds)))
+    return kept.groupBy(key.alias("query")).agg(F.max_by("answer", F.struct("fetched_at", "answer")).alias("answer"))
