@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The nine clock zones and their offsets from UTC in hours.
 ZONES = "(VALUES ('Los Angeles', -8), ('New York', -5), ('London', 0), ('Paris', 1), ('Dubai', 4), ('Mumbai', 5), ('Singapore', 8), ('Tokyo', 9), ('Sydney', 10)) AS z(label, hours)"
-STATS = """ratings AS (SELECT l_suppkey AS sponsor, avg(l_quantity) AS rating, count(*) AS reviews FROM {lineitem} WHERE l_returnflag <> 'N' GROUP BY l_suppkey),
-active AS (SELECT l_suppkey AS sponsor, count(*) FILTER (WHERE l_returnflag = 'A') AS approved, count(DISTINCT CASE WHEN l_returnflag = 'A' THEN year(l_shipdate) END) AS years FROM {lineitem} GROUP BY l_suppkey)"""
+# Sponsors of the owner's packages first, then their statistics in one aggregation per (sponsor, year) and one per sponsor.
+STATS = """asked AS (SELECT l.*, p_partkey, p_brand FROM {lineitem} l JOIN {part} ON p_partkey = l_partkey WHERE p_brand = 'Brand#11'),
+yearly AS (SELECT l_suppkey AS sponsor, year(l_shipdate) AS year, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity END) AS total, count(*) FILTER (WHERE l_returnflag <> 'N') AS reviews, count(*) FILTER (WHERE l_returnflag = 'A') AS approved FROM {lineitem} WHERE l_suppkey IN (SELECT l_suppkey FROM asked) GROUP BY l_suppkey, year(l_shipdate)),
+stats AS (SELECT sponsor, CASE WHEN sum(reviews) > 0 THEN sum(total) / sum(reviews) END AS rating, CAST(sum(reviews) AS BIGINT) AS reviews, CAST(sum(approved) AS BIGINT) AS approved, count(*) FILTER (WHERE approved > 0) AS years FROM yearly GROUP BY sponsor)"""
 
 SQL: dict[str, str | tuple[str, str]] = {
     "registrations_per_conference": "SELECT l_partkey AS conference_id, count(*) AS n FROM {lineitem} GROUP BY l_partkey",
@@ -26,7 +28,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "unread_per_conversation": "SELECT user_id, count(*) FILTER (WHERE event_type <> 'view' AND nullif(event_type, 'click') IS NULL) AS unread FROM {events} GROUP BY user_id",
     "unread_total": "SELECT count(*) AS unread FROM {events} JOIN {customer} ON c_custkey = user_id WHERE event_type <> 'view' AND nullif(event_type, 'click') IS NULL",
     "latest_message_per_thread": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {conversations}) t WHERE r = 1",
-    "conversation_list": "WITH m AS (SELECT least(user_id, 50) AS a, greatest(user_id, 50) AS b, event_id, ts, event_type FROM {events} WHERE user_id <> 50), c AS (SELECT CASE WHEN a = 50 THEN b ELSE a END AS partner_id, max(ts) AS last_time, max_by(event_type, event_id) AS last_text, count(*) FILTER (WHERE event_type = 'click') AS unread FROM m GROUP BY a, b) SELECT partner_id, c_name AS partner, last_time, last_text, unread FROM c JOIN {customer} ON c_custkey = partner_id WHERE c_custkey % 10 <> 3",
+    "conversation_list": "WITH m AS (SELECT least(user_id, 50) AS a, greatest(user_id, 50) AS b, event_id, ts, event_type FROM {events} WHERE user_id <> 50), c AS (SELECT CASE WHEN a = 50 THEN b ELSE a END AS partner_id, max(ts) AS last_time, max_by(event_type, event_id) AS last_text, count(*) FILTER (WHERE event_type = 'click') AS unread FROM m GROUP BY a, b) SELECT partner_id, c_name AS partner, last_time, last_text, unread FROM c JOIN (SELECT * FROM {customer} WHERE c_nationkey <> 3) u ON c_custkey = partner_id",
     "distinct_reviewable_sponsors": "SELECT DISTINCT l_suppkey AS sponsor_id, s_name AS company FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE p_brand = 'Brand#11' AND l_returnflag = 'A'",
     "eligible_exists": "SELECT s_suppkey FROM {supplier} LEFT SEMI JOIN (SELECT l_suppkey FROM {lineitem} WHERE l_returnflag = 'A' AND l_quantity > 49) e ON l_suppkey = s_suppkey",
     "activity_feed": "SELECT concat('cia_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS id, 'interest' AS kind, s_name AS actor, l_shipdate AS at FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_size = 7) UNION ALL SELECT concat('sub_', CAST(o_orderkey AS STRING)), 'abstract_submission', c_name, o_orderdate FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE o_orderpriority LIKE '1%'",
@@ -48,12 +50,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "status_breakdown_pct": "SELECT label, n, CAST(floor(n * 100.0 / sum(n) OVER () + 0.5) AS BIGINT) AS pct FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'Accepted' WHEN 'P' THEN 'Revisions' ELSE 'Submitted' END AS label, count(*) AS n FROM {orders} GROUP BY 1) s WHERE n > 0",
     "sponsor_revenue": "SELECT p_brand AS tier, round(sum(p_retailprice * least(p_size, coalesce(n, 0))), 2) AS revenue FROM {part} LEFT JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_partkey) a ON l_partkey = p_partkey GROUP BY p_brand",
     "committee_roster": (
-        "SELECT p_name AS name, count(*) AS n, min_by(p_brand, p_partkey) AS title, array_join(array_distinct(transform(array_sort(collect_list(struct(p_partkey, p_type))), x -> x.p_type)), ',') AS roles FROM {part} GROUP BY p_name",
+        "SELECT name, sum(n) AS n, min_by(title, k) AS title, array_join(transform(array_sort(collect_list(struct(k, role))), x -> x.role), ',') AS roles FROM (SELECT p_name AS name, p_type AS role, count(*) AS n, min(p_partkey) AS k, min_by(p_brand, p_partkey) AS title FROM {part} GROUP BY p_name, p_type) r GROUP BY name",
         "SELECT p_name AS name, count(*) AS n, min_by(p_brand, p_partkey) AS title, (SELECT string_agg(t, ',' ORDER BY k) FROM (SELECT p_type AS t, min(p_partkey) AS k FROM {part} q WHERE q.p_name = p.p_name GROUP BY p_type) x) AS roles FROM {part} p GROUP BY p_name",
     ),
     "candidate_pool": "SELECT s_name AS name, count(*) AS reviews, count(DISTINCT l_returnflag) AS topics FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey GROUP BY s_name",
-    "reviewer_match_fallback": "SELECT s_suppkey AS id, least(97, 94 - 5 * (CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) - 1)) AS score FROM {supplier} WHERE s_name <> 'Supplier#000000002'",
-    "committee_match_fallback": "SELECT s_suppkey AS id, least(98, 95 - 6 * (CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) - 1)) AS score FROM {supplier}",
     "arc_segments": "SELECT label, round(sum(n) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING) * 360e0 / greatest(1, sum(n) OVER ()) - n * 360e0 / greatest(1, sum(n) OVER ()), 6) AS from_deg, round(sum(n) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING) * 360e0 / greatest(1, sum(n) OVER ()), 6) AS to_deg FROM (SELECT event_type AS label, count(*) AS n FROM {events} GROUP BY event_type) e",
     "upcoming_deadlines": "SELECT o_orderkey AS id, o_orderdate AS deadline FROM {orders} WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 4",
     "recommended_top4": "SELECT p_partkey AS id, p_size AS score FROM {part} ORDER BY p_size DESC, p_partkey LIMIT 4",
@@ -71,10 +71,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "suggested_packages": "SELECT p_partkey AS id, greatest(35, least(99, CAST(floor(80.0 * (CASE WHEN contains(lower(p_name), 'a') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_type), 'a') THEN 1 ELSE 0 END) / 2 + 20.0 * p_size / 50 + 0.5) AS BIGINT))) AS score FROM {part}",
     "sponsor_verification": "SELECT s_suppkey AS id, CASE WHEN n = 0 THEN 'new' WHEN rating >= 25.0 THEN 'verified' ELSE 'unverified' END AS status FROM (SELECT s_suppkey, count(l_suppkey) AS n, avg(l_quantity) AS rating FROM {supplier} LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY s_suppkey) s",
     "sponsor_history_span": "SELECT l_suppkey AS sponsor_id, CAST(coalesce(max(year(l_shipdate)) - min(year(l_shipdate)) + 1, 0) AS BIGINT) AS years FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_suppkey",
-    "applicant_queue": f"WITH {STATS} SELECT l_orderkey AS application_id, l_linenumber AS line, p_partkey AS package_id, p_brand AS tier, l_returnflag AS status, l_shipdate AS created_at, l_suppkey AS sponsor_id, coalesce(nullif(s_name, ''), 'Unknown Sponsor') AS company, round(coalesce(rating, 0.0), 6) AS rating, coalesce(reviews, 0) AS reviews, coalesce(approved, 0) AS approved, coalesce(years, 0) AS history_years FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey LEFT JOIN ratings ON ratings.sponsor = l_suppkey LEFT JOIN active ON active.sponsor = l_suppkey LEFT JOIN {{supplier}} ON s_suppkey = l_suppkey WHERE p_brand = 'Brand#11'",
+    "applicant_queue": f"WITH {STATS} SELECT l_orderkey AS application_id, l_linenumber AS line, p_partkey AS package_id, p_brand AS tier, l_returnflag AS status, l_shipdate AS created_at, l_suppkey AS sponsor_id, coalesce(nullif(s_name, ''), 'Unknown Sponsor') AS company, round(coalesce(rating, 0.0), 6) AS rating, coalesce(reviews, 0) AS reviews, coalesce(approved, 0) AS approved, coalesce(years, 0) AS history_years FROM asked LEFT JOIN stats ON sponsor = l_suppkey LEFT JOIN {{supplier}} ON s_suppkey = l_suppkey",
     "world_clock": (
-        f"SELECT event_id, label, date_format(ts + make_interval(0, 0, 0, 0, hours, 0, 0), 'yyyy-MM-dd HH:mm') AS at FROM {{events}} CROSS JOIN {ZONES} WHERE event_type = 'signup'",
-        f"SELECT event_id, label, strftime(ts + hours * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS at FROM {{events}} CROSS JOIN {ZONES} WHERE event_type = 'signup'",
+        f"SELECT event_id, label, date_format(ts + make_interval(0, 0, 0, 0, hours, 0, 0), 'yyyy-MM-dd HH:mm') AS at FROM {{events}} CROSS JOIN {ZONES}",
+        f"SELECT event_id, label, strftime(ts + hours * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS at FROM {{events}} CROSS JOIN {ZONES}",
     ),
     "agenda_by_day": "SELECT CAST(o_orderdate AS DATE) AS day, CAST(row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderdate, o_orderkey) AS BIGINT) - 1 AS idx, o_orderkey AS session FROM {orders}",
     "date_labels": ("SELECT o_orderkey AS id, date_format(o_orderdate, 'MMM d, yyyy') AS label, upper(date_format(o_orderdate, 'MMM')) AS month, date_format(o_orderdate, 'EEEE') AS weekday FROM {orders}", "SELECT o_orderkey AS id, strftime(o_orderdate, '%b %-d, %Y') AS label, upper(strftime(o_orderdate, '%b')) AS month, strftime(o_orderdate, '%A') AS weekday FROM {orders}"),
@@ -88,7 +88,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "location_parse": "SELECT c_custkey AS id, regexp_extract(place, '^(.*?) *[(]([^)]+)[)] *$', 1) AS country, regexp_extract(place, '^(.*?) *[(]([^)]+)[)] *$', 2) AS venue FROM (SELECT c_custkey, concat(n_name, ' (', c_name, ')') AS place FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey) c",
     "split_keywords": ("SELECT doc_id, CAST(size(filter(transform(split(text, ','), x -> trim(x)), x -> x <> '')) AS BIGINT) AS keywords FROM {documents}", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')) AS BIGINT) AS keywords FROM {documents}"),
     "currency_labels": ("SELECT o_orderkey AS id, concat('$', format_number(CAST(floor(o_totalprice) AS BIGINT), 0)) AS label FROM {orders}", "SELECT o_orderkey AS id, concat('$', format('{:,}', CAST(floor(o_totalprice) AS BIGINT))) AS label FROM {orders}"),
-    "visual_timeline": "SELECT o_orderkey AS id, i AS step, CASE WHEN i < k OR (i = k AND k = 4) THEN 'completed' WHEN i = k THEN 'current' ELSE 'upcoming' END AS state FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'P' THEN 3 ELSE 1 END AS k FROM {orders}) o CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS s(i)",
+    "visual_timeline": ("SELECT o_orderkey AS id, i AS step, CASE WHEN i < k OR (i = k AND k = 4) THEN 'completed' WHEN i = k THEN 'current' ELSE 'upcoming' END AS state FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'P' THEN 3 ELSE 1 END AS k, explode(sequence(0, 4)) AS i FROM {orders}) o", "SELECT o_orderkey AS id, i AS step, CASE WHEN i < k OR (i = k AND k = 4) THEN 'completed' WHEN i = k THEN 'current' ELSE 'upcoming' END AS state FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'P' THEN 3 ELSE 1 END AS k FROM orders) o CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS s(i)"),
     "review_status_transition": "SELECT o_orderkey AS id, CASE r WHEN 'A' THEN 'Accepted' WHEN 'R' THEN 'Rejected' WHEN 'N' THEN 'Revisions Requested' ELSE o_orderstatus END AS status FROM {orders} LEFT JOIN (SELECT l_orderkey, max_by(l_returnflag, concat(CAST(l_shipdate AS STRING), '/', l_returnflag)) AS r FROM {lineitem} GROUP BY l_orderkey) v ON l_orderkey = o_orderkey",
     "reputation_index": "SELECT o_custkey AS user_id, least(1000, count(*) * 20 + 15 * count(*) FILTER (WHERE o_orderstatus = 'F') + 25 * count(*) FILTER (WHERE o_orderstatus = 'P')) AS score, (count(*) + 1) % 10 = 0 AS milestone FROM {orders} GROUP BY o_custkey",
     "json_props_stats": ("SELECT event_type, CAST(sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM {events} GROUP BY event_type", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM {events} GROUP BY event_type"),
