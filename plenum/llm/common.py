@@ -17,17 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/plenum-checkpoint"
+    """The folder that all executors share; where the session names none, a local one if all runs in one process, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/plenum-checkpoint"
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = f"{scratch(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    """Writes df to the shared folder at once and reads it back, so that a lost executor costs no recomputation.
+
+    The folder belongs to the caller: results are read from it lazily, so only the caller knows when it can go.
+    """
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """For applications, not operators: bounds what goes to a Python worker at once by bytes, unless the session has a bound already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == str(64 << 20) + "b":
+        spark.conf.set(name, "4m")
+    return spark
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once, even where body uses it inside of lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -47,6 +68,27 @@ def n_words(text: Column) -> Column:
     return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+#: A key is hot with more rows than this, and more than one of HOT_KEYS of all; its rows are dealt into HOT_PARTS.
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 1000, 10_000, 64
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], *spread: str) -> DataFrame:
+    """Inner join of rows with keys, which has one row per key and in n the number of its rows in rows.
+
+    Fewer than HOT_KEYS keys can be hot, so their list is broadcast. Rows of a
+    hot key are dealt by the hash of the spread columns, and the key's row goes
+    to each part, so no task gets all of it. keys is read three times, one of
+    them at once, so it should be a written table.
+    """
+    total = keys.agg(F.sum("n")).head()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = keys.filter(F.col("n") > least).select(*on, F.lit(True).alias("_hot"))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_hot")
+    parts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(keys.withColumn("_part", F.explode(parts)), [*on, "_part"]).drop("_part")
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bounds the rows that go to a Python worker at once, for tables with very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
