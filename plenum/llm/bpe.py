@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache as memo
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -22,7 +22,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .words import Recent
 
 #: Characters of a leaf, and the most that the pattern looks at behind a piece that it could have made longer.
@@ -124,7 +123,7 @@ class Codec(Recent):
         return len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
-@memo
+@lru_cache(maxsize=1)
 def _codec(rank_file: bytes, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
@@ -139,7 +138,6 @@ def vocabulary() -> tuple[bytes, str]:
 
 def _sent(docs: DataFrame, vocab):
     """The vocabulary has a fixed size (under 1 MB), so it is broadcast."""
-    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(vocab or vocabulary())
 
 

@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .words import WordHash, hashes, windows
 
 _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -74,7 +73,6 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     Null text has no words and so fails the first rule; other columns are carried along (m and failed are taken).
     """
-    small_batches(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "m", "failed")]
     rows = docs.select(*kept, F.pandas_udf(_measures, MEASURES)("text").alias("m"))
     bits = sum((F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, fails) in enumerate(rules())), F.lit(0))

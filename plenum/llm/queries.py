@@ -3,47 +3,47 @@
 from __future__ import annotations
 
 from . import bpe, exact_dedup, html, langid, licenses, minhash, mixing, quality, secrets, substrings
-from .common import table
+from .common import bounded, table
 
 
 def op1_secrets(spark, sf_dir):
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return secrets.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op2_quality(spark, sf_dir):
-    return quality.digest(table(spark, sf_dir, "documents"))
+    return quality.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op3_langid(spark, sf_dir):
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(table(bounded(spark), sf_dir, "documents"))
 
 
 def op4_licenses(spark, sf_dir):
-    return licenses.digest(table(spark, sf_dir, "documents"))
+    return licenses.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op5_substrings(spark, sf_dir):
-    return substrings.remove(table(spark, sf_dir, "documents"))
+    return substrings.remove(table(bounded(spark), sf_dir, "documents"))
 
 
 def op6_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(bounded(spark), sf_dir, "documents"))
 
 
 def op7_bpe(spark, sf_dir):
-    return bpe.digest(table(spark, sf_dir, "documents"))
+    return bpe.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(bounded(spark), sf_dir, "documents"))
 
 
 def op9_html(spark, sf_dir):
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(table(bounded(spark), sf_dir, "pages"))
 
 
 def op10_minhash(spark, sf_dir):
-    return minhash.digest(table(spark, sf_dir, "documents"))
+    return minhash.digest(table(bounded(spark), sf_dir, "documents"))
 
 
 def queries():

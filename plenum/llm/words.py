@@ -10,9 +10,9 @@ _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class Recent(dict):
-    """A memo of make(key) in two generations of ``kept`` keys: when the younger is full, the older is forgotten."""
+    """A memo of make(key) in two generations of ``kept`` short keys: when the younger is full, the older is forgotten."""
 
-    kept = 250_000
+    kept = 60_000
 
     def __init__(self):
         super().__init__()

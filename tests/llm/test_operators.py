@@ -87,11 +87,6 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in found) and any(r.held_out for r in found)
 
 
-def test_phrases():
-    a = langid.Automaton("abcabd")
-    assert [a.phrases(x) for x in ("abcab", "abdab", "xabd", "xx", "")] == [1, 2, 2, 2, 0]
-
-
 def test_licenses(docs):
     found = {r.doc_id: r for r in licenses.digest(docs).collect()}
     assert found[9].base_labels == "apache-2,mit" and (found[9].first_word, found[9].last_word, found[9].n_base) == (0, 7, 2)
