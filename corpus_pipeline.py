@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plenum.llm import bpe, exact_dedup, langid, minhash, mixing
-from plenum.llm.common import cut, table
+from plenum.llm.common import bounded, cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null texts and those without letters."""
+    """Drops documents in none of the learnt languages, null texts and those without letters among them; fills in lang where it is null."""
+    bounded(spark)
     return langid.keep_identified(docs)
 
 
@@ -20,6 +21,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near-duplicates."""
+    bounded(spark)
     return minhash.keep_one(docs)
 
 
@@ -30,6 +32,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left, repeats included."""
+    bounded(spark)
     return bpe.digest(docs)
 
 
@@ -41,7 +44,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: Language ID, MinHash and BPE can't be written in SQL; tests cover the first three stages together and the operators of all on their own.
+#: Language ID, MinHash and BPE can't be written in SQL; tests/llm compares run() with a plain version of all stages.
 ORACLE_SQL = None
 
 
