@@ -12,7 +12,9 @@ over all documents, the rarest first, and
 * length filter: a block with fewer than ``need`` words can't either;
 * positional filter: if the first shared word of T stands at position i, at most |T| - i words are shared;
 
-before the shared words are counted. The templates are a parameter and bounded,
+before the shared words are counted. Of templates that are near-equal
+themselves (a license and its variant), the one with the higher score counts in
+a block, of equal scores the one with more words. The templates are a parameter and bounded,
 so they stand as literals in the plan and blocks are not shuffled. All steps
 are built-in expressions.
 """
@@ -35,14 +37,14 @@ PHRASES = (
 )
 #: Templates of the join: label and text.
 TEMPLATES = (
-    ("agpl", "This program is licensed under the GNU Affero General Public License"),
+    ("agpl", "licensed under the GNU Affero General Public License"),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
     ("apache-2", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution license"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial license"),
-    ("gpl", "This work is licensed under the GNU General Public License"),
-    ("lgpl", "This library is licensed under the GNU Lesser General Public License"),
+    ("gpl", "licensed under the GNU General Public License"),
+    ("lgpl", "licensed under the GNU Lesser General Public License"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "This source code form is subject to the terms of the Mozilla Public License"),
@@ -105,11 +107,18 @@ def _similar(block: Column, words: list[str], need: int) -> Column:
     return F.when(passes, F.when(len(words) - first >= need, F.when(shared >= need, shared / float(len(words)))))
 
 
+def _rivals(ordered: list[tuple[str, list[str], int]], threshold: float) -> list[list[int]]:
+    """For each template, those of other labels that share so many words that one block can reach both."""
+    close = lambda a, b: len(set(a) & set(b)) >= threshold * min(len(a), len(b))
+    return [[j for j, (other, b, _) in enumerate(ordered) if other != label and close(a, b)] for label, a, _ in ordered]
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_words, places (start, label of each phrase), found (label, score of each template).
 
     Null counts as empty; texts without words have no places and nothing found.
-    Rows may repeat, other columns are not read.
+    Rows may repeat, an empty table gives an empty one, other columns are not
+    read. The frequencies of the templates' words are counted at once.
     """
     sets = [(label, _words(text)) for label, text in templates]
     vocabulary = sorted({w for _, ws in sets for w in ws})
@@ -137,7 +146,14 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     blocks = F.transform(F.filter(_blocks(F.col("text"), F.col("flat"), longest), lambda b: F.arrays_overlap(b, any_rare)), F.array_distinct)
     may = reduce(lambda a, b: a | b, [F.contains(padded, F.lit(f" {w} ")) for w in rare])
     blocks = F.when(may, blocks).otherwise(F.array().cast("array<array<string>>"))
-    best = F.transform("blocks", lambda b: F.array(*[F.struct(F.lit(label).alias("label"), F.coalesce(_similar(b, ws, need), F.lit(0.0)).alias("score")) for label, ws, need in ordered]))
+    scores = F.transform("blocks", lambda b: F.array(*[F.coalesce(_similar(b, ws, need), F.lit(0.0)) for _, ws, need in ordered]))
+    near = _rivals(ordered, threshold)
+
+    def beaten(a: Column, i: int) -> Column:
+        better = [(F.get(a, j) > F.get(a, i)) | ((F.get(a, j) == F.get(a, i)) & F.lit(len(ordered[j][1]) > len(ordered[i][1]))) for j in near[i]]
+        return reduce(lambda x, y: x | y, better, F.lit(False))
+
+    best = F.transform(scores, lambda a: F.array(*[F.struct(F.lit(label).alias("label"), F.when(beaten(a, i), 0.0).otherwise(F.get(a, i)).alias("score")) for i, (label, _, _) in enumerate(ordered)]))
     none = F.array().cast("array<struct<label:string,score:double>>")
     found = F.when(F.size("blocks") > 0, F.array_distinct(F.filter(F.flatten(best), lambda x: x["score"] > 0))).otherwise(none)
     rows = rows.withColumns({"n_words": n_words.cast("long"), "places": F.concat(*[places(p, label) for p, label in phrases]), "blocks": blocks})

@@ -38,3 +38,55 @@ def test_words_far_apart_are_no_notice(spark):
     text = "\n\n".join(w + " " + "filler words of others " * 20 for w in words)
     (row,) = licenses.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert row.labels == "" and row.score == 0
+
+
+def test_variants_of_a_license(spark):
+    texts = {
+        "agpl": "This program is licensed under the GNU Affero General Public License",
+        "gpl": "This program is licensed under the GNU General Public License",
+        "lgpl": "It is licensed under the GNU Lesser\nGeneral Public License.",
+        "cc-by": "This work is licensed under a Creative Commons Attribution license",
+        "cc-by-nc": "This work is licensed under a Creative Commons Attribution NonCommercial license",
+        "agpl,gpl": "Licensed under the GNU General Public License.\n\nThe server is licensed under the GNU Affero General Public License.",
+        "": "the general public license of the gnu",
+    }
+    found = licenses.digest(spark.createDataFrame([(t, k) for k, t in texts.items()], "text string, doc_id string")).collect()
+    assert {r.doc_id: r.labels for r in found} == {k: k for k in texts}
+
+
+def words(text: str) -> list[str]:
+    import re
+
+    return [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+
+
+def test_against_plain_python(spark):
+    """Base places by comparison at each word; templates by the share of their words in each paragraph and window."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    pieces = [t for _, t in licenses.TEMPLATES] + [p for p, _ in licenses.PHRASES] + ["Under the MIT-License", "apache  LICENSE, version 2.0", "cc-by-nc 4", "İ Ķ under the mit license", "other words stand here", "\n", "\n\n", "\n \n", "license", "the work"]
+    texts = ["".join(rng.choice(pieces) + rng.choice((" ", "\n", ". ")) for _ in range(rng.randrange(0, 9))) for _ in range(120)] + ["", "mit"]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string")).collect()}
+    assert found[-1].n_words == 0 and found[-1].places == found[-1].found == []
+    longest = max(len(words(t)) for _, t in licenses.TEMPLATES)
+    sets = [(label, set(words(t))) for label, t in licenses.TEMPLATES]
+    for i, text in enumerate(texts):
+        w = words(text)
+        places = sorted((k, label) for phrase, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split())
+        assert (found[i].n_words, sorted(map(tuple, found[i].places))) == (len(w), places)
+        lines, blocks = [words(line) for line in text.split("\n")], [[]]
+        for line in lines:
+            blocks[-1].extend(line) if line else blocks.append([])
+        blocks = [b for b in blocks if b]
+        if len(blocks) > 1:
+            blocks += [w[k : k + 3 * longest] for k in range(0, len(w), longest)]
+        want = set()
+        for b in map(set, blocks):
+            score = [len(b & s) / len(s) if len(b & s) >= math.ceil(0.9 * len(s) - 1e-9) else 0 for _, s in sets]
+            for k, (label, s) in enumerate(sets):
+                rivals = [(score[j], len(o)) for j, (other, o) in enumerate(sets) if other != label and len(s & o) >= 0.9 * min(len(s), len(o))]
+                if score[k] and all((score[k], len(s)) >= r for r in rivals):
+                    want.add((label, score[k]))
+        assert {tuple(x) for x in found[i].found} == want
