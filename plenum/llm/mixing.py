@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ca
 
 
 def assigned(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, schedules=SCHEDULES, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position (0 to 1) and _mx_h (the seeded hash) per row of docs.
+    """doc_id, size, source_size, target, taken, position (0 to 1), positions (of whole copies) and _mx_h (the seeded hash) per row of docs.
 
     A document of a source with fraction f = target / source_size takes the
     words between two rounded points of the source's running demand: f * size
@@ -81,9 +81,13 @@ def assigned(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: floa
     # Demand: the integral of a + (b - a) t with mean 1 is a t + (b - a) t^2 / 2; its inverse at the middle of the document.
     a = _cycle([2 * s / (s + e) for s, e in schedules], F.col("rank"))
     b = _cycle([2 * e / (s + e) for s, e in schedules], F.col("rank"))
+    inverse = lambda x: 2 * x / (a + F.sqrt(F.greatest(a * a + 2 * (b - a) * x, F.lit(0.0))))
     share = F.when(F.col("source_size") > 0, (F.col("end") - F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(0.0))
-    position = 2 * share / (a + F.sqrt(F.greatest(a * a + 2 * (b - a) * share, F.lit(0.0))))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), "_mx_h")
+    # The source is gone through rate times; a document's copies stand where those passes reach it.
+    copies = F.when(F.col("size") > 0, F.greatest(F.ceil(rate - share), F.lit(0))).otherwise(F.lit(0))
+    positions = F.transform(F.sequence(F.lit(0), copies - 1), lambda i: inverse((i + share) / rate))
+    positions = F.when(copies > 0, positions).otherwise(F.array().cast("array<double>"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), inverse(share).alias("position"), positions.alias("positions"), "_mx_h")
 
 
 def row_hash(seed: int) -> Column:
@@ -93,22 +97,25 @@ def row_hash(seed: int) -> Column:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """assigned(), range-sorted by training position."""
     rows = assigned(docs, **how)
-    return rows.repartitionByRange("position", "_mx_h").sortWithinPartitions("position", "_mx_h").drop("_mx_h")
+    return rows.repartitionByRange("position", "_mx_h").sortWithinPartitions("position", "_mx_h").drop("_mx_h", "positions")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The documents of the mix in training order, with the columns of docs (_mx_ prefixes are taken).
 
-    A document appears taken / size times: as often as that is whole, and once
-    more with the probability of the rest, decided by the seeded hash of the
-    row. Documents of which nothing is taken go, such as those without words.
-    Rows that repeat both doc_id and text share what they take evenly.
+    A source is gone through target / source_size times in the order of the
+    seeded hash, so a document appears once for each pass that reaches it, each
+    copy at its own position, and the words of a source's copies miss its target
+    by one document at most. Documents that no pass reaches go, and those
+    without words. Rows that repeat both doc_id and text get equally many
+    copies, rounded by chance (the seeded hash).
     """
-    each = assigned(docs, seed=seed, **how).groupBy("_mx_h").agg(F.sum("taken").alias("_mx_t"), F.sum("size").alias("_mx_s"), F.min("position").alias("_mx_p"))
+    most = F.max(F.struct(F.size("positions").alias("n"), "positions"))["positions"]
+    each = assigned(docs, seed=seed, **how).groupBy("_mx_h").agg(F.sum(F.size("positions")).alias("_mx_c"), F.count(F.lit(1)).alias("_mx_k"), most.alias("_mx_p"))
     u = F.pmod(F.xxhash64("_mx_h", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    copies = F.floor(F.col("_mx_t") / F.col("_mx_s") + u).cast("int")
-    each = each.filter("_mx_s > 0").withColumn("_mx_c", copies).filter("_mx_c > 0").drop("_mx_t", "_mx_s")
+    copies = F.floor(F.col("_mx_c") / F.col("_mx_k") + u).cast("int")
+    each = each.filter(copies > 0).select("_mx_h", F.slice("_mx_p", F.lit(1), copies).alias("_mx_p"))
     rows = docs.withColumn("_mx_h", row_hash(seed)).join(each, "_mx_h")
-    rows = rows.withColumn("_mx_i", F.explode(F.sequence(F.lit(1), F.col("_mx_c"))))
+    rows = rows.select("*", F.posexplode("_mx_p").alias("_mx_i", "_mx_at")).drop("_mx_p").withColumnRenamed("_mx_at", "_mx_p")
     rows = rows.repartitionByRange("_mx_p", "_mx_h", "_mx_i").sortWithinPartitions("_mx_p", "_mx_h", "_mx_i")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
