@@ -21,7 +21,7 @@ SALTS = 256
 
 
 def grouped(docs: DataFrame, text: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds _keep_id, _group_size, _kept and _sha to every row of docs.
+    """Adds _dd_keep_id, _dd_group_size, _dd_kept and _dd_sha to every row of docs. Counts the rows at once, to tell which texts are hot.
 
     docs: any columns, with doc_id and text. text: the normalised text (default:
     the text as it is). Null text counts as empty. Of equal texts the row with
@@ -43,27 +43,27 @@ def grouped(docs: DataFrame, text: Column | None = None, hot_rows: int = HOT_ROW
         "_dd_keep": F.max("doc_id").over(equal),
         "_dd_size": F.count(F.lit(1)).over(equal),
         "_dd_first": F.row_number().over(equal.orderBy(F.col("doc_id").desc_nulls_last())),
-        "_sha": F.sha2("_dd_text", 256),
+        "_dd_sha": F.sha2("_dd_text", 256),
     })
     # The hot texts' groups over all salts: pre-aggregated, at most HOT_TEXTS rows.
-    whole = rows.filter("_dd_hot").groupBy(F.sha2("_dd_text", 256).alias("_sha")).agg(F.max("doc_id").alias("_dd_all"), F.count(F.lit(1)).alias("_dd_alln"))
-    out = local.join(F.broadcast(whole), "_sha", "left").withColumns({
-        "_keep_id": F.when(F.col("_dd_alln").isNull(), F.col("_dd_keep")).otherwise(F.col("_dd_all")),
-        "_group_size": F.coalesce("_dd_alln", "_dd_size"),
+    whole = rows.filter("_dd_hot").groupBy(F.sha2("_dd_text", 256).alias("_dd_sha")).agg(F.max("doc_id").alias("_dd_all"), F.count(F.lit(1)).alias("_dd_alln"))
+    out = local.join(F.broadcast(whole), "_dd_sha", "left").withColumns({
+        "_dd_keep_id": F.when(F.col("_dd_alln").isNull(), F.col("_dd_keep")).otherwise(F.col("_dd_all")),
+        "_dd_group_size": F.coalesce("_dd_alln", "_dd_size"),
     })
     # Rows of one doc_id share a salt; with a null keep_id every row of the group is in one salt.
-    out = out.withColumn("_kept", (F.col("_dd_first") == 1) & F.col("doc_id").eqNullSafe(F.col("_keep_id")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_keep_id", "_group_size", "_kept", "_sha")
+    out = out.withColumn("_dd_kept", (F.col("_dd_first") == 1) & F.col("doc_id").eqNullSafe(F.col("_dd_keep_id")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_dd_keep_id", "_dd_group_size", "_dd_kept", "_dd_sha")
 
 
 def exact_dedup(docs: DataFrame, text: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    return grouped(docs.select("doc_id", "text"), text, hot_rows).select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").cast("long").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
+    return grouped(docs.select("doc_id", "text"), text, hot_rows).select("doc_id", F.col("_dd_keep_id").alias("keep_id"), F.col("_dd_group_size").cast("long").alias("group_size"), F.col("_dd_kept").alias("kept"), F.col("_dd_sha").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    return grouped(docs).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return grouped(docs).filter("_dd_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = """
