@@ -7,6 +7,7 @@ other policies and ablations are bitwise work on the ledger, without the texts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,11 @@ def _measure(text: str | None, cache: WordHash) -> tuple[int, ...]:
     if n > 8:
         _, at, count = np.unique(windows(h, 8), return_inverse=True, return_counts=True)
         twice = count[at] > 1
-        if twice.any():
+        if twice.any():  # equal hashes are confirmed on the words
+            where = np.flatnonzero(twice).tolist()
+            runs = [tuple(words[i : i + 8]) for i in where]
+            seen = Counter(runs)
+            twice[where] = [seen[r] > 1 for r in runs]
             edge = np.zeros(n + 1, np.int64)
             edge[: n - 7] += twice
             edge[8 : n + 1] -= twice
@@ -46,7 +51,7 @@ def _measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_measure(t, cache) for t in texts], columns=names)
 
 
-def rules(m: str = "m") -> list[tuple[str, Column]]:
+def rules(m: str = "_ql_m") -> list[tuple[str, Column]]:
     """Name and failure condition of each rule, in the order of the bits. New rules go to the end."""
     c = lambda name: F.col(f"{m}.{name}")
     return [
@@ -69,18 +74,20 @@ def mask(names) -> int:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """docs without text, with the measurements (struct m) and failed (long, bit i for rule i); one row per row of docs.
+    """docs without text, with the measurements (struct _ql_m) and _ql_failed (long, bit i for rule i); one row per row of docs.
 
-    Null text has no words and so fails the first rule; other columns are carried along (m and failed are taken).
+    Null text has no words and so fails the first rule; rows may repeat; an
+    empty table gives an empty one. Other columns are carried along, whatever
+    their names (names with the prefix _ql_ are taken).
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "m", "failed")]
-    rows = docs.select(*kept, F.pandas_udf(_measures, MEASURES)("text").alias("m"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(*kept, F.pandas_udf(_measures, MEASURES)("text").alias("_ql_m"))
     bits = sum((F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, fails) in enumerate(rules())), F.lit(0))
-    return rows.withColumn("failed", bits.cast("long"))
+    return rows.withColumn("_ql_failed", bits.cast("long"))
 
 
 def verdict(policy: str) -> Column:
-    return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
+    return F.col("_ql_failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
 
 def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
@@ -89,7 +96,7 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
     Documents are counted per distinct mask first (2 to the number of rules at most), then the masks per rule.
     """
     whole = mask(POLICIES[policy])
-    masks = rows.groupBy(F.col("failed").bitwiseAND(F.lit(whole)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    masks = rows.groupBy(F.col("_ql_failed").bitwiseAND(F.lit(whole)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     each = masks.withColumn("rule", F.explode(F.array(*[F.lit(RULES.index(r)) for r in POLICIES[policy]])))
     bit = F.expr("shiftleft(1L, rule)")
     name = F.element_at(F.array(*[F.lit(r) for r in RULES]), F.col("rule") + 1)
@@ -100,4 +107,4 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
 def digest(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed."""
     rows = ledger(docs.select("doc_id", "text"))
-    return rows.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", (~verdict("base")).alias("base_failed"), verdict(policy).alias("kept"), "failed")
+    return rows.select("doc_id", "_ql_m.n_words", "_ql_m.word_chars", "_ql_m.n_symbols", "_ql_m.n_dup_lines", "_ql_m.n_repeat_words", (~verdict("base")).alias("base_failed"), verdict(policy).alias("kept"), F.col("_ql_failed").alias("failed"))

@@ -68,11 +68,18 @@ def test_quality(docs, spark):
         again = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         assert (r.n_words, r.n_repeat_words) == (len(w), len(again))
         assert r.word_chars == sum(len(x.decode()) for x in w)
+        lines = [x for x in (text or "").split("\n") if x.encode().split()]
+        assert (r.n_symbols, r.n_dup_lines) == (sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 20 or 100 * len(again) > 30 * len(w))
+        stutter = sum(x == y for x, y in zip(w, w[1:], strict=False))
+        bad = [len(w) < 20, 100 * len(again) > 30 * len(w), 10 * r.n_symbols > len(w), not 2 * len(w) <= r.word_chars <= 15 * len(w), 2 * r.n_dup_lines > len(lines), 10 * stutter > 3 * len(w)]
+        assert r.kept == (not any(bad)) and r.failed == sum(b << i for i, b in enumerate(bad))
     spam = spark.createDataFrame([(1, "buy$$$ now*** " * 30), (2, "a\na\nb\n" + LONG)], "doc_id long, text string")
     spam = {r.doc_id: r for r in quality.digest(spam).collect()}
     assert spam[1].n_symbols == 180 and not spam[1].kept and spam[2].n_dup_lines == 1 and spam[2].kept
-    table = {r.rule: r for r in quality.ablation(quality.ledger(docs)).collect()}
+    clashing = quality.ledger(docs.withColumn("m", docs.size).withColumn("failed", docs.n))
+    assert {"m", "failed", "_ql_m", "_ql_failed"} <= set(clashing.columns)
+    table = {r.rule: r for r in quality.ablation(clashing).collect()}
     assert table["few_words"].n_failed == sum(len(split(r[1])) < 20 for r in ROWS)
 
 
@@ -126,6 +133,42 @@ def test_mixing(docs, spark):
     again = {(r.doc_id, r.taken, r.position) for r in mixing.mix(docs.repartition(3)).collect()}
     assert again == {(r.doc_id, r.taken, r.position) for r in found}
     assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def fill(sizes: dict, budget: float = 1.5, cap: float = 2.0) -> dict:
+    """Targets by rounds: what a source can't take is shared out again among those that can."""
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    target, left, total = {}, dict(weight), budget * sum(sizes.values())
+    while left:
+        share = {s: total * w / sum(left.values()) for s, w in left.items()}
+        full = [s for s in left if share[s] >= cap * sizes[s]]
+        for s in full or list(left):
+            target[s] = cap * sizes[s] if full else share[s]
+            total -= target[s]
+            del left[s]
+    return target
+
+
+def test_mixing_targets_and_copies(spark):
+    rows = [(i, words(i, 1 + (i * i) % 90), "src%d" % (i % 11 if i % 3 else 0)) for i in range(400)] + [(1000 + i, "w " * 30, None) for i in range(5)] + [(2000, None, "empty"), (2001, "", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "'x' AS target", "0 AS position")
+    sizes, most = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(split(t))
+        most[s] = max(most[s], len(split(t)))
+    want = fill(sizes)
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        s = next(x[2] for x in rows if x[0] == r.doc_id)
+        assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * (1 + want[s])
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    mixed, copies = Counter(), Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[r.source] += len(split(r.text))
+        copies[r.doc_id] += 1
+    assert all(abs(mixed[s] - want[s]) <= most[s] for s in sizes) and max(copies.values()) <= 2
 
 
 def test_bpe(docs):
