@@ -616,6 +616,45 @@ def user_by_id(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT id, email FROM {users} WHERE id = :id", args={"id": "u42"}, users=t.users)
 
 
+@query("SELECT c_custkey AS id, contains(c_mktsegment, 'MACH') AS part, regexp_matches(c_name, '(?i)CUSTOMER.*7$') AS pattern, starts_with(c_mktsegment, 'AUTO') AS start, c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') AS listed, c_nationkey <> 4 AS other FROM customer")
+def text_predicates(t: Tables) -> DataFrame:
+    segment = F.col("c_mktsegment")
+    return t.raw("customer").select(F.col("c_custkey").alias("id"), F.contains(segment, F.lit("MACH")).alias("part"), F.rlike("c_name", F.lit("(?i)CUSTOMER.*7$")).alias("pattern"), F.startswith(segment, F.lit("AUTO")).alias("start"), segment.isin("HOUSEHOLD", "FURNITURE").alias("listed"), (F.col("c_nationkey") != 4).alias("other"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN n >= 1000000 THEN CASE WHEN n % 1000000 = 0 THEN CAST(n // 1000000 AS VARCHAR) ELSE printf('%.1f', n / 1000000.0) END || 'M' WHEN n >= 1000 THEN CASE WHEN n % 1000 = 0 THEN CAST(n // 1000 AS VARCHAR) ELSE printf('%.1f', n / 1000.0) END || 'K' ELSE CAST(n AS VARCHAR) END AS short FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 4000000 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 900 ELSE 1000 * (o_orderkey % 700 + 1) + 200 END AS n FROM orders) x")
+def compact_labels(t: Tables) -> DataFrame:
+    n = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 4000000 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 900 ELSE 1000 * (o_orderkey % 700 + 1) + 200 END")
+    return t.raw("orders").select(F.col("o_orderkey").alias("id"), text.compact(n).alias("short"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_nationkey < 9 THEN 'changed' ELSE s_name END AS name FROM supplier UNION ALL SELECT -1, 'added'")
+def upserted(t: Tables) -> DataFrame:
+    held = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_nationkey")
+    changes = held.filter("s_nationkey < 9").select("id", F.lit("changed").alias("name"))
+    return tables.upsert(held.drop("s_nationkey"), tables.union_all(changes, t.spark.createDataFrame([(-1, "added")], "id long, name string")), ["id"])
+
+
+@query("SELECT reviewer_id, count(DISTINCT conference_title) FILTER (WHERE recommendation = 'Accept') AS accepted_for FROM reviews r JOIN submissions s ON s.id = submission_id GROUP BY reviewer_id")
+def conferences_accepted_for(t: Tables) -> DataFrame:
+    titles = t.submissions.select(F.col("id").alias("submission_id"), "conference_title")
+    per = t.reviews.join(titles, "submission_id").groupBy("reviewer_id")
+    return per.agg(F.count_distinct(F.when(F.col("recommendation") == "Accept", F.col("conference_title"))).alias("accepted_for"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey = 7 UNION ALL SELECT -5, 'appended'")
+def written_and_read(t: Tables) -> DataFrame:
+    """Rows written as JSON to the shared folder, some appended, and read back by their schema."""
+    import uuid
+
+    from plenum.sources.tables import append_json, read_json, shared_folder
+
+    path = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    append_json(t.raw("customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), path)
+    append_json(t.spark.createDataFrame([(-5, "appended")], "id long, name string"), path)
+    return read_json(t.spark, path, "id long, name string")
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES[name][0](Tables(spark, sf_dir))
 

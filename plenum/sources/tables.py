@@ -36,6 +36,15 @@ def write_json(table: DataFrame, path: str) -> None:
     table.write.mode("errorifexists").json(path)
 
 
+def append_json(table: DataFrame, path: str) -> None:
+    table.write.mode("append").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON files by their schema, never inferred; malformed ones are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that the driver and all executors see; a local one only where all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
