@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, join_counted
 from .components import components
 from .words import WordHash, hashes, mix, windows
 
@@ -43,15 +43,15 @@ BITS, SKETCH_LEAST = 512, 0.45
 PARITY = 1024
 #: Rounds of one pair per node before the exhaustive ones, and the pivots of a bucket in the first exhaustive one.
 MEETINGS, PIVOTS = 1, 256
-#: Members that are confirmed against one copy of their pivot.
-MEMBERS = 256
+#: Members that are confirmed against one copy of their pivot, and entries of a bucket that one task gets.
+MEMBERS, ENTRIES = 256, 512
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _SALT = mix(_RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64))
 PARITIES = ", ".join(f"w{i} long" for i in range(PARITY // 64))
-SKETCH = "n long, key binary, bands array<long>, odd array<long>"
+SKETCH = f"n long, key binary, bands array<long>, odd array<long>, {PARITIES}"
 
 
 def shingles(text: str | None, cache: WordHash) -> np.ndarray:
@@ -67,45 +67,45 @@ def minhash(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(samples: np.ndarray) -> np.ndarray:
+    """A hash of each band of samples, its place included."""
+    with np.errstate(over="ignore"):
+        return mix((samples.astype(np.uint64) * _SALT).reshape(BANDS, ROWS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     bit = mix(samples.astype(np.uint64) ^ _SALT) % np.uint64(BITS)
     return np.packbits(np.bincount(bit.astype(np.int64), minlength=BITS) & 1).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """An odd sketch of the whole set, not of its samples: two sets differ in at least as many elements as their sketches in bits."""
+    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64)
+
+
 def _sketch(text: str | None, cache: WordHash) -> tuple:
     found = shingles(text, cache)
     if not len(found):
-        return 0, None, None, None
+        return 0, None, None, None, *[0] * (PARITY // 64)
     samples = minhash(found)
-    with np.errstate(over="ignore"):
-        bands = mix((samples.astype(np.uint64) * _SALT).reshape(BANDS, ROWS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-    return len(found), xxhash.xxh3_128_digest(found.tobytes()), bands.view(np.int64), odd_sketch(samples)
+    return len(found), xxhash.xxh3_128_digest(found.tobytes()), bands(samples), odd_sketch(samples), *parity(found).tolist()
 
 
 def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    cache = WordHash()
+    cache, names = WordHash(), [c.split()[0] for c in SKETCH.split(", ")]
     for texts in batches:
-        yield pd.DataFrame([_sketch(t, cache) for t in texts], columns=["n", "key", "bands", "odd"])
+        yield pd.DataFrame([_sketch(t, cache) for t in texts], columns=names)
+
+
+#: Bits in which two odd sketches differ, as expected at SKETCH_LEAST.
+MOST_BITS = BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - SKETCH_LEAST) / BITS))
 
 
 def promising(a: str, b: str) -> Column:
     """Whether the sizes and odd sketches of two nodes allow the similarity."""
-    apart = 2 * BANDS * ROWS * (1 - SKETCH_LEAST)
-    most = BITS / 2 * (1 - math.exp(-2 * apart / BITS))
     bits = F.aggregate(F.zip_with(f"{a}_odd", f"{b}_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-    return (100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (bits <= most)
-
-
-def parity(found: np.ndarray) -> np.ndarray:
-    """An odd sketch of the whole set, not of its samples: two sets differ in at least as many elements as their sketches in bits."""
-    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64)
-
-
-def _parities(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    cache = WordHash()
-    for texts in batches:
-        yield pd.DataFrame([parity(shingles(t, cache)) for t in texts], columns=[f"w{i}" for i in range(PARITY // 64)])
+    return (100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (bits <= MOST_BITS)
 
 
 def _shingle_lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -143,6 +143,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInPandas(_confirm, "a binary, b binary")
 
 
+def _parts(size: str = "size") -> Column:
+    """Into how many parts the entries of a bucket are dealt."""
+    return F.ceil(F.col(size) / ENTRIES).cast("int")
+
+
+def _to_parts(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets (with their size), once for each part: what a bucket's entries in all parts have to meet."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("size")
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
@@ -163,7 +173,7 @@ def _possible(one: str, other: str) -> Column:
 
 
 def _open(entries: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """entries: bucket, key, ... The entries that can have a link within their bucket, with n, common and parity.
+    """entries: bucket, part, size, key, ...; sizes: key, n, parity. The entries that can have a link within their bucket, with n, common and parity.
 
     A shingle that one node alone has can be in no intersection, so common, the
     number of the others, bounds every intersection of the node; the smallest
@@ -174,46 +184,47 @@ def _open(entries: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = entries.select("key").distinct()
     sets = nodes.join(texts, "key").select(F.xxhash64("key").alias("node"), F.explode(F.pandas_udf(_shingle_lists, "array<long>")("text")).alias("h"))
     alone = sets.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    known = nodes.withColumn("node", F.xxhash64("key")).join(alone, "node", "left").join(sizes, "key").join(texts.select("key", "parity"), "key")
+    known = nodes.withColumn("node", F.xxhash64("key")).join(alone, "node", "left").join(sizes, "key")
     known = cut(known.select("key", "n", "parity", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
     rows = cut(entries.join(known, "key"))
-    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    least = _to_parts(rows.groupBy("bucket").agg(F.min("n").alias("least"), F.first("size").alias("size")))
     partner = F.greatest(F.col("least"), F.col("common"), F.ceil(F.col("n") * SIMILARITY / 100))
-    return rows.join(least, "bucket").filter(100 * F.col("common") >= SIMILARITY * (F.col("n") + partner - F.col("common")))
+    return rows.join(least, ["bucket", "part"]).filter(100 * F.col("common") >= SIMILARITY * (F.col("n") + partner - F.col("common")))
 
 
 def link(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, and _th (hash of the text), _keep (one row of each component).
 
     Null and empty texts, and those without words, have no shingles and are
-    linked with nothing. Rows may repeat: they share a component, and so do
+    linked with nothing; an empty table gives an empty table. Rows may repeat: they share a component, and so do
     their kept flags; _keep holds for the rows of one (doc_id, text) only.
     component_id is the smallest doc_id that can be reached (nulls last); where
-    that is null, the rows of one text are kept.
+    that is null, the rows of one text are kept. Other columns are not read. All
+    rounds run while the frame is made; what is returned reads their tables.
     """
-    small_batches(docs.sparkSession)
-    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("_th"), F.pandas_udf(_sketches, SKETCH)("text").alias("s")).select("doc_id", "_th", "s.*"))
+    sketched = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.pandas_udf(_sketches, SKETCH)("text").alias("s"))
+    rows = cut(sketched.select("doc_id", "_th", "s.n", "s.key", "s.bands", "s.odd", F.struct(*(F.col(f"s.w{i}") for i in range(PARITY // 64))).alias("parity")))
     some = rows.filter("key IS NOT NULL")
     first = F.min_by(F.struct("doc_id", "_th"), F.struct(F.col("doc_id").isNull(), "doc_id", "_th"))
-    nodes = cut(some.groupBy("key").agg(first.alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("bands").alias("bands")))
+    nodes = cut(some.groupBy("key").agg(first.alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("bands").alias("bands"), F.first("parity").alias("parity")))
     entries = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(entries.join(shared, "bucket"))
+    shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = cut(join_counted(entries, shared, ["bucket"], "key").withColumnRenamed("n", "size"))
     # A text that many others derive from shares more buckets with more nodes than they do among themselves.
     weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
-    members = cut(members.drop("size").join(weights, "key"))
+    members = cut(members.join(weights, "key").withColumn("part", F.pmod(F.xxhash64("key"), _parts()).cast("int")))
     sketch = nodes.select("key", "n", "odd")
     names = members.select("key").distinct().join(nodes.select("key", F.col("first.doc_id").alias("d"), F.col("first._th").alias("t")), "key")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
-    texts = cut(names.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_th"))).dropDuplicates(["key"]).select("key", "text", F.pandas_udf(_parities, PARITIES)("text").alias("parity")))
+    texts = cut(names.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_th"))).dropDuplicates(["key"]).select("key", "text"))
 
     def tested(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sketch.toDF("pivot", "p_n", "p_odd"), "pivot").join(sketch.toDF("key", "k_n", "k_odd"), "key")
         return cut(confirmed(p.filter(promising("p", "k")).select("pivot", "key"), texts))
 
     # First round: each node against the most central node that it shares a bucket with.
-    central = members.groupBy("bucket").agg(F.max(F.struct("weight", F.col("key").alias("pivot"))).alias("p"))
-    pairs = members.join(central, "bucket").groupBy("key").agg(F.max("p").alias("p")).select("p.pivot", "key").filter("pivot <> key")
+    central = members.groupBy("bucket").agg(F.max(F.struct("weight", F.col("key").alias("pivot"))).alias("p"), F.first("size").alias("size"))
+    pairs = members.join(_to_parts(central), ["bucket", "part"]).groupBy("key").agg(F.max("p").alias("p")).select("p.pivot", "key").filter("pivot <> key")
     pairs = cut(pairs)
     seen = pairs.select(F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")).distinct()
     links = tested(pairs)
@@ -221,18 +232,18 @@ def link(docs: DataFrame) -> DataFrame:
     def split() -> DataFrame:
         """The members of buckets that are in several parts, with the label of the largest."""
         now = cut(_labelled(members, labels))
-        parts = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-        largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
-        return now.join(largest, "bucket")
+        sets = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("held"), F.first("size").alias("size"))
+        largest = sets.groupBy("bucket").agg(F.max_by("label", F.struct("held", "label")).alias("most"), F.count(F.lit(1)).alias("n_sets"), F.first("size").alias("size")).filter("n_sets > 1")
+        return now.join(_to_parts(largest), ["bucket", "part"])
 
     # Entries whose node can't reach the similarity with anything in the bucket go; what is left of each bucket goes on.
-    members = cut(_open(split(), sketch.select("key", "n"), texts).select("bucket", "key", "weight", "n", "common", "parity"))
+    members = cut(_open(split(), nodes.select("key", "n", "parity"), texts).select("bucket", "part", "size", "key", "weight", "n", "common", "parity"))
     # A few rounds in which each node outside the largest part of a bucket meets one member of it: a pair per node and round.
     for r in range(MEETINGS):
         rest = split()
         chance = -F.ln((F.pmod(F.xxhash64("key", F.lit(r)), F.lit(1_000_003)) + 1) / 1_000_004.0) / F.col("weight")  # central nodes more often
-        host = rest.filter("label = most").groupBy("bucket").agg(F.min_by(F.struct("key", "n", "common", "parity"), chance).alias("host"))
-        met = rest.filter("label <> most").join(host, "bucket").filter(_possible("", "host."))
+        host = rest.filter("label = most").groupBy("bucket").agg(F.min_by(F.struct("key", "n", "common", "parity"), chance).alias("host"), F.first("size").alias("size"))
+        met = rest.filter("label <> most").join(_to_parts(host), ["bucket", "part"]).filter(_possible("", "host."))
         met = met.groupBy("key").agg(F.min_by("host.key", F.xxhash64("host.key", "key", F.lit(r))).alias("pivot")).select("pivot", "key")
         pairs = cut(met.join(seen.union(seen.select("key", "pivot")), ["pivot", "key"], "left_anti"))
         if pairs.isEmpty():
@@ -246,14 +257,14 @@ def link(docs: DataFrame) -> DataFrame:
     done, step = None, PIVOTS
     while True:
         rest = split()
-        pivots = rest.filter("label <> most").select("bucket", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"), *(F.col(c).alias(f"pivot_{c}") for c in ("n", "common", "parity")))
+        pivots = rest.filter("label <> most").select("bucket", "size", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"), *(F.col(c).alias(f"pivot_{c}") for c in ("n", "common", "parity")))
         if done is not None:
             pivots = pivots.join(done, ["bucket", "pivot"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("pivot"))
         pivots = cut(pivots.withColumn("rank", rank).filter(F.col("rank") <= step).drop("rank"))
         if pivots.isEmpty():
             break
-        pairs = rest.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & _possible("", "pivot_")).select("pivot", "key").distinct()
+        pairs = rest.join(_to_parts(pivots), ["bucket", "part"]).filter((F.col("label") != F.col("pivot_label")) & _possible("", "pivot_")).select("pivot", "key").distinct()
         ordered = pairs.select(F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")).distinct()
         pairs = cut(ordered.join(seen, ["pivot", "key"], "left_anti"))
         seen = seen.union(pairs)
@@ -269,7 +280,7 @@ def link(docs: DataFrame) -> DataFrame:
     at = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = at.groupBy("label").agg(F.min_by("first", F.struct(F.col("first.doc_id").isNull(), "first")).alias("c"))
     where = at.join(smallest, "label").select("key", "c")
-    out = rows.drop("bands", "odd").join(where, "key", "left")
+    out = rows.drop("bands", "odd", "parity").join(where, "key", "left")
     alone = F.col("key").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("c.doc_id"))
     keep = alone | (component.eqNullSafe(F.col("doc_id")) & (F.col("c._th") == F.col("_th")))
