@@ -90,5 +90,6 @@ def ranked(table: DataFrame, by: str, *ties: Column, descending: bool = False) -
     offset = F.lit(0)
     for p, n in offsets:
         offset = F.when(F.col("_part") == p, F.lit(n)).otherwise(offset)
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties))
+    order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()  # the column itself: doubles would merge large whole numbers
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(order, *ties))
     return rows.withColumn("rank", number.cast("long") + offset).drop("_part")

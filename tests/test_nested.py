@@ -61,3 +61,14 @@ def test_ranks_with_ties_nulls_and_no_rows(spark):
     assert found == [r.id for r in t.orderBy(F.col("v").asc_nulls_last(), "id").collect()]
     assert sorted(r["rank"] for r in nested.ranked(t, "v", F.col("id"), descending=True).collect()) == list(range(1, 1001))
     assert nested.ranked(t.limit(0), "v").count() == 0
+
+
+def test_ranks_of_large_whole_numbers(spark):
+    from plenum.operators import nested
+
+    rows = [(2**60 + i,) for i in (3, 1, 2, 0)] + [(None,), (5,)]
+    t = spark.createDataFrame(rows, "v long")
+    up = {r.v: r["rank"] for r in nested.ranked(t, "v").collect()}
+    down = {r.v: r["rank"] for r in nested.ranked(t, "v", descending=True).collect()}
+    assert up == {5: 1, 2**60: 2, 2**60 + 1: 3, 2**60 + 2: 4, 2**60 + 3: 5, None: 6}
+    assert down == {2**60 + 3: 1, 2**60 + 2: 2, 2**60 + 1: 3, 2**60: 4, 5: 5, None: 6}
