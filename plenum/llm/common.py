@@ -26,16 +26,29 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that cut() wrote in this process and nothing has discarded yet, in order.
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder at once and reads it back, so that a lost executor costs no recomputation.
 
-    The folder belongs to the caller: results are read from it lazily, so only the caller knows when it can go.
+    Results are read from these tables lazily, so only the caller knows when they can go: see discard().
     """
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that cut() wrote, once nothing reads them any more."""
+    for path in list(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def bounded(spark: SparkSession) -> SparkSession:
     """For applications, not operators: bounds what goes to a Python worker at once by bytes, unless the session has a bound already."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -87,8 +100,3 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], *spread: str)
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_hot")
     parts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
     return dealt.join(keys.withColumn("_part", F.explode(parts)), [*on, "_part"]).drop("_part")
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows that go to a Python worker at once, for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
