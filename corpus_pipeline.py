@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plenum.llm import bpe, exact_dedup, langid, minhash, mixing
-from plenum.llm.common import bounded, cut, table
+from plenum.llm.common import WRITTEN, bounded, cut, discard, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies STAGES to documents, each result written and read again; what a stage wrote on its way is deleted when its result is there."""
+    docs, before = table(spark, sf_dir, "documents"), len(WRITTEN)
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        discard(spark, WRITTEN[before:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
