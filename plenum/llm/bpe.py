@@ -6,7 +6,11 @@ re-encoding a window that starts before the seam, at the last piece that the
 seam can't have changed, and grows to the right until it reaches a boundary of
 the right half: a match depends only on the text from its start to at most
 LOOKAHEAD characters behind its end, so everything outside the window stays.
-Decoding concatenates the bytes of halves.
+Long pieces are halved in the same way, down to their bytes: tokens are joined
+by merging the bytes of a window around the seam, which grows until its first
+and last token stand with their neighbours as the two alone would be encoded.
+Tokens of which each adjacent pair does so are the encoding, so all outside of
+the window stays. Decoding concatenates the bytes of halves.
 """
 
 from __future__ import annotations
@@ -32,6 +36,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece: the adjacent pair of least rank is merged until no pair has a rank."""
     if piece in ranks:
         return [ranks[piece]]
+    return merged(piece, ranks)
+
+
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids that merging alone gives."""
     if len(piece) > 256:
         return _merge_long(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -49,7 +58,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """merge() with a heap and a linked list, for pieces of any length."""
+    """merged() with a heap and a linked list, for bytes of any length."""
     from heapq import heapify, heappop, heappush
 
     n = len(piece)
@@ -108,8 +117,34 @@ class Codec(Recent):
                 break
         return left
 
+    def stands(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side are what their bytes are encoded as."""
+        return merged(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+
+    def halved(self, piece: bytes, leaf: int) -> list[int]:
+        """The ids of the bytes of a long piece."""
+        if len(piece) <= max(1, leaf):
+            return merged(piece, self.ranks)
+        middle = len(piece) // 2
+        left, right = self.halved(piece[:middle], leaf), self.halved(piece[middle:], leaf)
+        i = j = 1  # tokens of either side that the window takes
+        while True:
+            window = merged(self.decode(left[-i:] + right[:j]), self.ranks)
+            first = i >= len(left) or self.stands(left[-i - 1], window[0])
+            last = j >= len(right) or self.stands(window[-1], right[j])
+            if first and last:
+                return left[: max(0, len(left) - i)] + window + right[j:]
+            i, j = i if first else 2 * i, j if last else 2 * j
+
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.pieces(text, leaf=leaf))))
+        pieces = self.pieces(text, leaf=leaf)
+        if max(map(len, pieces), default=0) <= leaf:
+            return list(chain.from_iterable(map(self.__getitem__, pieces)))
+        ids: list[int] = []
+        for p in pieces:
+            whole = p.encode()
+            ids += self[p] if len(p) <= leaf or whole in self.ranks else self.halved(whole, leaf)
+        return ids
 
     def decode(self, ids: list[int], most: int = 1 << 16) -> bytes:
         if len(ids) <= most:

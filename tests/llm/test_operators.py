@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, ties, repeats and extra columns."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -178,6 +179,14 @@ def test_bpe(docs):
         want = own.encode_ordinary(text)
         assert all(codec.encode(text, leaf) == want for leaf in (1, 2, 3, 5, 4096))
         assert codec.decode(want, 3) == text.encode()
+    rng = random.Random(2)
+    for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "thein ", "é", "aé漢", "="):
+        for n in (1, 30, 301, 5000):
+            piece = "".join(rng.choices(alphabet.strip(), k=n))
+            want = own.encode_ordinary(piece)
+            assert all(codec.encode(piece, leaf) == want for leaf in (1, 7, 64, 4096))
+    long = "x" * 100_001 + " " + "".join(rng.choices("aehinrst", k=50_000))
+    assert codec.encode(long) == own.encode_ordinary(long)
     back = bpe.decode(bpe.encode(docs.select("doc_id", "text"))).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back)
 
