@@ -108,3 +108,8 @@ def compact_plain(n: Column) -> Column:
 def uri_encoded(text: Column) -> Column:
     """Percent encoding, a space as %20."""
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def new_id(prefix: str = "") -> Column:
+    """A random id for each row; it differs each time a frame is computed, so rows should be written before ids are used."""
+    return F.concat(F.lit(prefix), F.uuid())

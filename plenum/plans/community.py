@@ -214,6 +214,13 @@ def reviewable_sponsors(t: Tables) -> DataFrame:
     return sponsors.reviewable(t.applications, t.packages, t.users)
 
 
+@query("SELECT sponsor_id, count(*) > 0 AS allowed FROM (VALUES ('s1'), ('s2'), ('none')) v(sponsor_id) LEFT JOIN (SELECT sponsor_id AS s FROM applications a JOIN packages p ON p.id = package_id WHERE status = 'Approved' AND organizer_id = 'Brand#12') x ON s = sponsor_id GROUP BY sponsor_id HAVING count(s) > 0 UNION ALL SELECT 'none', false")
+def sponsors_that_may_be_reviewed(t: Tables) -> DataFrame:
+    asked = ("s1", "s2", "none")
+    found = [(s, sponsors.may_review("Brand#12", s, t.applications, t.packages)) for s in asked]
+    return t.spark.createDataFrame([x for x in found if x[1] or x[0] == "none"], "sponsor_id string, allowed boolean")
+
+
 @query("SELECT sponsor_id, row_number() OVER (PARTITION BY sponsor_id ORDER BY r.created_at DESC, r.id DESC) - 1 AS place, name AS reviewer, 'Organizer' AS reviewer_role, rating, strftime(r.created_at, '%Y-%m-%d') AS day FROM sponsor_reviews r JOIN users u ON u.id = organizer_id")
 def reviews_by_sponsor(t: Tables) -> DataFrame:
     return sponsors.reviews_of(t.sponsor_reviews, t.users)
@@ -308,6 +315,12 @@ def unread_by_user(t: Tables) -> DataFrame:
     return messages.unread_totals(t.conversations, t.messages)
 
 
+@query("SELECT other AS me, count(*) AS unread FROM messages m JOIN users u ON u.id = sender_id WHERE read_at IS NULL GROUP BY other")
+def unread_summed_over_threads(t: Tables) -> DataFrame:
+    listed = messages.conversations_of(t.conversations, t.messages, t.users)
+    return listed.groupBy("me").agg(F.sum("unread").alias("unread")).filter("unread > 0")
+
+
 @query("SELECT least(a, b) AS user_a, greatest(a, b) AS user_b FROM (SELECT sender_id AS a, other AS b FROM messages UNION SELECT 'u1', 'u140' UNION SELECT 'u999', 'u1000') x GROUP BY ALL")
 def conversations_opened(t: Tables) -> DataFrame:
     asked = t.spark.createDataFrame([("n1", "u140", "u1"), ("n2", "u1", "u140"), ("n3", "u999", "u1000"), ("n4", "u5", "u5")], "id string, a string, b string").withColumn("created_at", F.expr(NOW))

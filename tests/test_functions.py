@@ -94,3 +94,19 @@ def test_json_columns(spark, tmp_path):
     assert sources.decoded(t).orderBy("id").collect() == [({"a": 1.5}, ["x"], 1), (None, None, 2)]
     sources.write_json(t, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_new_ids(spark):
+    from plenum.functions import text
+
+    ids = [r[0] for r in spark.range(50).select(text.new_id("m_")).collect()]
+    assert len(set(ids)) == 50 and all(i.startswith("m_") and len(i) == 38 for i in ids)
+
+
+def test_plain_compact_counts_and_uris(spark):
+    from plenum.functions import text
+
+    rows = spark.createDataFrame([(999,), (1000,), (1500,), (999_960,), (1_000_000,), (1_204_000,)], "n long")
+    assert [r[0] for r in rows.select(text.compact_plain(rows.n)).collect()] == ["999", "1K", "1.5K", "1000K", "1M", "1.2M"]
+    uri = spark.createDataFrame([("a b+c/é",), ("",), (None,)], "t string")
+    assert [r[0] for r in uri.select(text.uri_encoded(uri.t)).collect()] == ["a%20b%2Bc%2F%C3%A9", "", None]
