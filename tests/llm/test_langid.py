@@ -84,3 +84,10 @@ def test_stage_rejects_what_no_language_explains(spark):
     kept = {r.doc_id: r.lang for r in langid.keep_identified(docs).collect()}
     assert set(kept) == {r[0] for r in rows} | {3}
     assert all(kept[i] == lang for i, lang in ((1000, "de"), (2000, "en"), (1050, "de")))
+
+
+def test_held_out_accuracy(spark):
+    """On invented prose in four languages, learnt from the rows that aren't held out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
+    assert len(found) > 200 and sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found)
