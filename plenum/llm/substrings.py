@@ -5,8 +5,8 @@ in it. Equal strings have equal anchors, so strings whose anchor's gram occurs
 once in the corpus can't repeat. The strings of one anchor are a segment.
 
 1. Grams of anchors are counted over the corpus; segments with unique ones go.
-2. Segments that are equal as a whole are decided by their digests: all their
-   strings repeat. Only segments that share a gram but differ are undecided.
+2. Segments that are equal as a whole are decided by their digests (64 bits of
+   the bytes beside the 64 of the gram): all their strings repeat. Only segments that share a gram but differ are undecided.
 3. These are cut out of the texts and brought together by gram; tasks suffix-sort
    them in two stages and compare adjacent suffixes. Grams with very many
    different segments are split first: into pieces of PIECE starts, which meet
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, join_counted
 from .suffixes import repeated
 from .words import mix
 
@@ -40,19 +40,6 @@ _POS = np.uint64((1 << 28) - 1)
 _RNG = np.random.default_rng(11)
 _BYTE = mix(_RNG.integers(0, 2**63, 256, dtype=np.uint64))
 _MUL = [int(x) | 1 for x in mix(_RNG.integers(0, 2**63, 5, dtype=np.uint64))]
-_X = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _X and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, x in enumerate((_X, pow(_X, -1, 1 << 64))):
-            p = np.full(size, x, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
@@ -77,10 +64,7 @@ def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
     first = np.concatenate(([0], edge))
     last = np.concatenate((edge - 1, [n - WIDTH]))
     anchor = at[first]
-    power, inverse = _power(n)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(t * power)))
-    digest = (total[last + WIDTH] - total[first]) * inverse[first]
-    digest = mix(digest + mix((anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)))
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + WIDTH).tolist(), strict=True)), np.uint64, len(first))
     return h[anchor].view(np.int64), digest.view(np.int64), first, last - first, anchor - first
 
 
@@ -186,23 +170,24 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """rk, s, e: byte ranges (end exclusive) of repeated strings, of texts keyed by rk."""
     found = keyed.select("rk", "doc.text").mapInPandas(_segments, "rk long, h long, d long, first int, more int, at int")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    found = cut(found.join(often, "h"))
+    often = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    found = cut(join_counted(found, often, ["h"], "rk", "first").drop("n"))
     kinds = cut(found.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "first", "more", "at")).alias("one")))
-    whole = found.join(kinds.filter("n > 1").select("h", "d"), ["h", "d"]).select("rk", F.col("first").alias("s"), (F.col("first") + F.col("more") + WIDTH).alias("e"))
-    differ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 AND singles > 0")
-    asked = kinds.join(differ, "h").select("one.rk", F.struct("h", "one.first", "one.more", "one.at", (F.col("n") == 1).alias("single"), (F.col("kinds") > GROUP).alias("hot")).alias("a"))
+    whole = join_counted(found, kinds.filter("n > 1").select("h", "d", "n"), ["h", "d"], "rk", "first").select("rk", F.col("first").alias("s"), (F.col("first") + F.col("more") + WIDTH).alias("e"))
+    differ = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") == 1).alias("singles")).filter("n > 1 AND singles > 0").select("h", "n"))
+    each = kinds.select("h", "d", "one", (F.col("n") == 1).alias("single"))
+    asked = join_counted(each, differ, ["h"], "d").select("one.rk", F.struct("h", "one.first", "one.more", "one.at", "single", (F.col("n") > GROUP).alias("hot")).alias("a"))
     asked = cut(asked.groupBy("rk").agg(F.collect_list("a").alias("asked")))  # of one text each: no more than its length
     pieces = keyed.join(asked, "rk").select("rk", "doc.text", "asked").mapInPandas(_cut_out, PIECES)
     hot = pieces.filter("core <> 0")
-    sizes = hot.groupBy("h", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hot = hot.join(sizes, ["h", "core"])
+    sizes = cut(hot.groupBy("h", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot = join_counted(hot, sizes, ["h", "core"], "rk", "first")
     names = ["h", "core", "rk", "first", "single", "bytes"]
     small = pieces.filter("core = 0").select(names).union(hot.filter(F.col("n") <= GROUP).select(names))
     small = small.repartition("h", "core").sortWithinPartitions("h", "core").mapInPandas(_sorted, REPEATS)
     large = hot.filter(F.col("n") > GROUP).select(names).mapInPandas(_strings, "h long, u long, v long, rk long, s int, single boolean")
-    twice = large.groupBy("h", "u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    large = large.join(twice, ["h", "u", "v"]).filter("single").select("rk", "s", (F.col("s") + WIDTH).alias("e"))
+    twice = cut(large.groupBy("h", "u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    large = join_counted(large, twice, ["h", "u", "v"], "rk", "s").filter("single").select("rk", "s", (F.col("s") + WIDTH).alias("e"))
     return whole.union(small).union(large)
 
 
@@ -213,7 +198,6 @@ def remove(docs: DataFrame) -> DataFrame:
     doc_id and text are copies of each other like any others. Other columns are
     not read.
     """
-    small_batches(docs.sparkSession)
     # One struct, so that both joins below read the same exchange of the texts.
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.struct("doc_id", "text").alias("doc"))
     gone = repeats(docs, keyed).groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("repeats"))
