@@ -42,8 +42,8 @@ _BYTE = mix(_RNG.integers(0, 2**63, 256, dtype=np.uint64))
 _MUL = [int(x) | 1 for x in mix(_RNG.integers(0, 2**63, 5, dtype=np.uint64))]
 
 
-def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
-    """gram hash, digest, first start, starts less one, and the anchor's distance from the first start, of each segment."""
+def anchors(raw: bytes) -> tuple[np.ndarray, ...] | None:
+    """gram hash, first start, last start, and the anchor's place, of each segment."""
     n = len(raw)
     if n < WIDTH:
         return None
@@ -62,10 +62,26 @@ def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
     at = (least & _POS).astype(np.int64)
     edge = np.flatnonzero(at[1:] != at[:-1]) + 1
     first = np.concatenate(([0], edge))
-    last = np.concatenate((edge - 1, [n - WIDTH]))
-    anchor = at[first]
+    return h[at[first]].view(np.int64), first, np.concatenate((edge - 1, [n - WIDTH])), at[first]
+
+
+def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
+    """gram hash, digest, first start, starts less one, and the anchor's distance from the first start, of each segment."""
+    found = anchors(raw)
+    if found is None:
+        return None
+    h, first, last, anchor = found
     digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + WIDTH).tolist(), strict=True)), np.uint64, len(first))
-    return h[anchor].view(np.int64), digest.view(np.int64), first, last - first, anchor - first
+    return h, digest.view(np.int64), first, last - first, anchor - first
+
+
+def _grams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The grams of anchors with their numbers in the batch."""
+    for batch in batches:
+        found = [x[0] for text in batch["text"] if (x := anchors((text or "").encode())) is not None]
+        if found:
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": n})
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +186,8 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """rk, s, e: byte ranges (end exclusive) of repeated strings, of texts keyed by rk."""
     found = keyed.select("rk", "doc.text").mapInPandas(_segments, "rk long, h long, d long, first int, more int, at int")
-    often = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    grams = keyed.select("doc.text").mapInPandas(_grams, "h long, n long")
+    often = cut(grams.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
     found = cut(join_counted(found, often, ["h"], "rk", "first").drop("n"))
     kinds = cut(found.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "first", "more", "at")).alias("one")))
     whole = join_counted(found, kinds.filter("n > 1").select("h", "d", "n"), ["h", "d"], "rk", "first").select("rk", F.col("first").alias("s"), (F.col("first") + F.col("more") + WIDTH).alias("e"))
@@ -178,7 +195,7 @@ def repeats(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     each = kinds.select("h", "d", "one", (F.col("n") == 1).alias("single"))
     asked = join_counted(each, differ, ["h"], "d").select("one.rk", F.struct("h", "one.first", "one.more", "one.at", "single", (F.col("n") > GROUP).alias("hot")).alias("a"))
     asked = cut(asked.groupBy("rk").agg(F.collect_list("a").alias("asked")))  # of one text each: no more than its length
-    pieces = keyed.join(asked, "rk").select("rk", "doc.text", "asked").mapInPandas(_cut_out, PIECES)
+    pieces = cut(keyed.join(asked, "rk").select("rk", "doc.text", "asked").mapInPandas(_cut_out, PIECES))
     hot = pieces.filter("core <> 0")
     sizes = cut(hot.groupBy("h", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     hot = join_counted(hot, sizes, ["h", "core"], "rk", "first")
@@ -198,7 +215,6 @@ def remove(docs: DataFrame) -> DataFrame:
     doc_id and text are copies of each other like any others. Other columns are
     not read.
     """
-    # One struct, so that both joins below read the same exchange of the texts.
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.struct("doc_id", "text").alias("doc"))
     gone = repeats(docs, keyed).groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("repeats"))
     rows = keyed.join(gone, "rk", "left").select("doc.doc_id", "doc.text", "repeats")
