@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.functions.scores import rounded
 from plenum.functions.text import blank_or
 from plenum.operators.nested import steps
 from plenum.operators.ordering import newest_first, placed
@@ -185,10 +182,6 @@ def reviewed_titles(reviews: DataFrame, submissions: DataFrame) -> DataFrame:
     return reviews.select("reviewer_id", "submission_id").join(title, "submission_id").groupBy("reviewer_id").agg(F.count_distinct("conference_title").alias("conferences"))
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return rounded(F.coalesce(F.try_divide(part, whole), F.lit(0.0)) * 100)
-
-
 def agenda_places(items: DataFrame, day: str, *order: str) -> DataFrame:
     """Program items by day, then the given columns, with place in the whole day."""
     return placed(items, [day], *(F.col(c) for c in order))
@@ -197,7 +190,3 @@ def agenda_places(items: DataFrame, day: str, *order: str) -> DataFrame:
 def removed_at(items: Column, place: int) -> Column:
     """An array without the element at a place (from 0)."""
     return F.filter(items, lambda x, i: i != place)
-
-
-def sorted_by(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rows.orderBy(*columns)

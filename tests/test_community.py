@@ -102,6 +102,11 @@ def test_sign_ups_and_updates(spark):
     assert [r[0] for r in numbers.select(people.number_between(F.col("t"), 0, 100, whole=True)).collect()] == [5.0, None, None, None, None, None, None]
 
 
+def test_avatars(spark):
+    urls = spark.createDataFrame([("data:image/png;base64,x",), ("https://x/y.png",), (None,)], "u string")
+    assert [r[0] for r in urls.select(people.allowed_avatar(F.col("u"))).collect()] == [True, False, False]
+
+
 def test_declared_tables(spark):
     users = spark.createDataFrame([("1", "e", "organizer", "n"), ("1", "e", "guest", None), (None, "f", "sponsor", "m")], "id string, email string, role string, name string")
     rows = schemas.rebuilt(users, "users", created_at=F.expr("TIMESTAMP '2020-01-01'"))
