@@ -44,7 +44,7 @@ PARITY = 1024
 #: Rounds of one pair per node before the exhaustive ones, and the pivots of a bucket in the first exhaustive one.
 MEETINGS, PIVOTS = 1, 256
 #: Members that are confirmed against one copy of their pivot, and entries of a bucket that one task gets.
-MEMBERS, ENTRIES = 256, 512
+MEMBERS, ENTRIES = 64, 512
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -246,8 +246,6 @@ def link(docs: DataFrame) -> DataFrame:
         met = rest.filter("label <> most").join(_to_parts(host), ["bucket", "part"]).filter(_possible("", "host."))
         met = met.groupBy("key").agg(F.min_by("host.key", F.xxhash64("host.key", "key", F.lit(r))).alias("pivot")).select("pivot", "key")
         pairs = cut(met.join(seen.union(seen.select("key", "pivot")), ["pivot", "key"], "left_anti"))
-        if pairs.isEmpty():
-            break
         seen = seen.union(pairs.select(F.least("pivot", "key"), F.greatest("pivot", "key"))).distinct()
         more = tested(pairs)
         if not more.isEmpty():
@@ -261,20 +259,21 @@ def link(docs: DataFrame) -> DataFrame:
         if done is not None:
             pivots = pivots.join(done, ["bucket", "pivot"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("pivot"))
-        pivots = cut(pivots.withColumn("rank", rank).filter(F.col("rank") <= step).drop("rank"))
-        if pivots.isEmpty():
+        pivots = cut(pivots.withColumn("rank", rank).filter(F.col("rank") <= step))
+        deepest = pivots.agg(F.max("rank")).head()[0]
+        if deepest is None:
             break
-        pairs = rest.join(_to_parts(pivots), ["bucket", "part"]).filter((F.col("label") != F.col("pivot_label")) & _possible("", "pivot_")).select("pivot", "key").distinct()
+        pairs = rest.join(_to_parts(pivots.drop("rank")), ["bucket", "part"]).filter((F.col("label") != F.col("pivot_label")) & _possible("", "pivot_")).select("pivot", "key").distinct()
         ordered = pairs.select(F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")).distinct()
         pairs = cut(ordered.join(seen, ["pivot", "key"], "left_anti"))
-        seen = seen.union(pairs)
-        done = pivots.select("bucket", "pivot") if done is None else done.union(pivots.select("bucket", "pivot"))
         more = tested(pairs)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        if pivots.groupBy("bucket").count().filter(F.col("count") >= step).isEmpty():
+        if deepest < step:
             break
+        seen = seen.union(pairs)
+        done = pivots.select("bucket", "pivot") if done is None else done.union(pivots.select("bucket", "pivot"))
         step *= 16
     # Components by their smallest document.
     at = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
