@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -121,6 +122,13 @@ def test_suffix_array():
     for buf in (b"\2\3\2\3\2\0\3\3\2\0", b"\2\0", b"\5\4\3\2\0\2\3\4\5\0"):
         keys = [buf[i : buf.index(0, i) + 1] for i in suffixes.suffix_array(buf, 20)]
         assert keys == sorted(keys) and len(keys) == len(buf)
+    rng = random.Random(1)
+    for _ in range(500):
+        buf = b"".join(bytes(rng.choices(b"\1\2\3", k=rng.randrange(1, 9))) + b"\0" for _ in range(rng.randrange(1, 4)))
+        wanted = np.array([c > 0 and rng.random() < 0.4 for c in buf])
+        found = [i for i in suffixes.suffix_array(buf, 20, wanted) if wanted[i]]
+        keys = [buf[i : buf.index(0, i) + 1] for i in found]
+        assert keys == sorted(keys) and sorted(found) == np.flatnonzero(wanted).tolist()
 
 
 def test_mixing(docs, spark):
@@ -226,3 +234,21 @@ def test_pipeline(docs):
     for _, stage in corpus_pipeline.STAGES[:3]:
         rows = stage(rows.sparkSession, rows, "")
     assert sorted(r.doc_id or 0 for r in rows.collect()) == [0, 2, 4, 8, 9, 10, 11, 12]
+
+
+def test_very_long_texts(spark):
+    """One text of 1.4 million characters beside an empty one, through the operators that have no such test of their own."""
+    long = " ".join(f"w{i % 9973}" for i in range(240_000)) + " under the MIT license"
+    docs = spark.createDataFrame([(1, long, "a"), (2, "", "a"), (3, long, "b")], "doc_id long, text string, source string")
+    one = lambda f: {r.doc_id: r for r in f(docs).collect()}
+    q = one(quality.digest)
+    assert (q[1].n_words, q[1].n_repeat_words, q[2].n_words) == (240_004, 239_999 + 1, 0)
+    found = one(licenses.digest)
+    assert (found[1].n_words, found[1].n_base, found[1].first_word, found[1].labels) == (240_004, 1, 240_000, "mit")
+    mixed = one(mixing.mix)
+    assert mixed[1].size == 240_004 and abs(mixed[1].taken + mixed[3].taken - 3 * 240_004) <= 2 and mixed[2].taken == 0
+    dedup = one(exact_dedup.exact_dedup)
+    assert (dedup[1].keep_id, dedup[1].group_size, dedup[2].group_size) == (3, 2, 1)
+    codec = bpe.Codec(*bpe.vocabulary())
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    assert one(bpe.digest)[1].n_tokens == len(own.encode_ordinary(long))
