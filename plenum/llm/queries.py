@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html, langid, licenses, minhash, mixing, quality, secrets, substrings
+from . import ann, bpe, exact_dedup, html, langid, licenses, merkle, minhash, mixing, periodic, quality, secrets, substrings
 from .common import bounded, table
 
 
@@ -46,9 +46,21 @@ def op10_minhash(spark, sf_dir):
     return minhash.digest(table(bounded(spark), sf_dir, "documents"))
 
 
+def op11_ann(spark, sf_dir):
+    return ann.digest(table(bounded(spark), sf_dir, "embeddings"))
+
+
+def op12_periodic(spark, sf_dir):
+    return periodic.digest(table(bounded(spark), sf_dir, "documents"))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_licenses, op5_substrings, op6_mixing, op7_bpe, op8_exact_dedup, op9_html, op10_minhash)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_langid, op4_licenses, op5_substrings, op6_mixing, op7_bpe, op8_exact_dedup, op9_html, op10_minhash, op11_ann, op12_periodic, op13_merkle)}
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op8_exact_dedup": exact_dedup.SQL, "op11_ann": ann.SQL, "op13_merkle": merkle.SQL}
