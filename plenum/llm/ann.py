@@ -10,8 +10,11 @@ vectors whose bound reaches a query's k-th best score so far are reranked with
 the vectors themselves.
 
 Every vector is compared with every query by its code, so what is lost is lost
-to the error bound alone. Queries are dealt into blocks and vectors into slabs;
-a task gets one block and one slab, both of bounded size, and keeps k rows per query.
+to the error bound alone. Vectors come in rounds, each GROWTH times as many as
+all before, in the order of a hash: the k-th best score of a round is the next
+one's threshold, so that about k * GROWTH vectors a query pass in each round,
+however many there are. In a round, queries are dealt into blocks and vectors
+into slabs; a task gets one block and one slab, both of bounded size.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .common import cut
 LEAST_BITS = 256
 #: Standard errors between an estimate and its bound; 3 lose about one neighbour in 1,000 of those at the very threshold.
 EPSILON = 3.0
-#: Most queries in a block and most vectors in a slab; small tables get more slabs, of SMALL_SLAB vectors or more.
-BLOCK, SLAB, SMALL_SLAB, SLABS = 4096, 65_536, 1024, 48
+#: Vectors of the first round, and how many times as many have been seen after each further one.
+FIRST, GROWTH = 4096, 16
+#: Most queries in a block and most vectors in a slab; a small round is cut into up to TASKS slabs of LEAST_SLAB vectors or more, then into blocks.
+BLOCK, SLAB, LEAST_SLAB, TASKS = 4096, 65_536, 2048, 48
 PLANES = 4
 _STEP = 1 << 21  # pairs of a query and a code at a time
 
@@ -84,11 +89,11 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the query, id and score of up to k vectors per query, by query, score (descending) and id."""
+def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the query, id and score of the k best vectors per query, as far as they reach its worst score that counts; by query, score (descending) and id."""
     queries = Queries(q)
     row, near, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    worst = np.full(len(q), -np.inf)  # the k-th best score so far
+    worst = worst.copy()  # from here on, the k-th best score so far if that is more
 
     def rerank(qi: np.ndarray, xi: np.ndarray) -> None:
         nonlocal row, near, score
@@ -101,7 +106,8 @@ def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
         order = np.lexsort((near, -score, row))
         row, near, score = row[order], near[order], score[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        worst[row[place == k - 1]] = score[place == k - 1]
+        last = place == k - 1
+        worst[row[last]] = np.maximum(worst[row[last]], score[last])
         row, near, score = row[place < k], near[place < k], score[place < k]
 
     width = max(k, _STEP // max(1, len(q)))
@@ -110,7 +116,7 @@ def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
         guess, error = queries.estimates(codes[part], fit[part])
         scale = queries.length[:, None] * length[None, part]
         other = query_ids[:, None] != ids[None, part]
-        if a == 0 and len(ids) > k:  # the best guesses give a first threshold
+        if a == 0 and len(ids) > k and np.isinf(worst).any():  # the best guesses give a first threshold
             best = np.argpartition(np.where(other, -guess * scale, np.inf), k - 1, axis=1)[:, :k]
             seed = np.zeros_like(other)
             np.put_along_axis(seed, best, True, axis=1)
@@ -148,19 +154,11 @@ def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return cut(same.select("id", coded("v").alias("c")).select("id", "c.*"))
 
 
-def search(codes: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """query_id, rank (int, from 1), vec_id, score: for each row of codes that is_query holds for, the k nearest of all rows.
-
-    Rows with the query's id are its own and no candidates; of query rows with
-    one id and different vectors one counts (the least in bytes). Repeated rows
-    are candidates each. Scores tie to the smaller vec_id; with fewer
-    candidates all are given; without any there is no row for the query.
-    Counts rows at once, to deal them out.
-    """
-    queries = codes.filter(is_query).groupBy("id").agg(F.min("raw").alias("raw"))
-    n_queries, n = queries.count(), codes.count()
-    blocks, slabs = -(-n_queries // BLOCK) or 1, max(1, -(-n // SLAB), min(SLABS, n // SMALL_SLAB))
-    dealt = lambda parts: F.pmod(F.xxhash64("id", "raw"), F.lit(parts)).cast("int")
+def _round(queries: DataFrame, codes: DataFrame, n_queries: int, n: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: of about n codes, those that may be among the k best of a query, given the worst score that counts (queries: id, raw, worst)."""
+    slabs = max(1, -(-n // SLAB), min(TASKS, n // LEAST_SLAB))
+    blocks = max(1, -(-n_queries // BLOCK), min(n_queries // 64, TASKS // slabs))
+    dealt = lambda parts: F.pmod(F.xxhash64("raw", "id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     asked = queries.withColumn("block", dealt(blocks)).withColumn("slab", every(slabs))
     held = codes.withColumn("slab", dealt(slabs)).withColumn("block", every(blocks))
@@ -170,12 +168,39 @@ def search(codes: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         matrix = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
         ids = q["id"].to_numpy()
-        row, near, score = nearest(ids, matrix(q["raw"], np.float64), x["id"].to_numpy(), matrix(x["raw"], np.float64), matrix(x["code"], np.uint64), x["length"].to_numpy(), x["fit"].to_numpy(), k)
+        row, near, score = nearest(ids, matrix(q["raw"], np.float64), x["id"].to_numpy(), matrix(x["raw"], np.float64), matrix(x["code"], np.uint64), x["length"].to_numpy(), x["fit"].to_numpy(), q["worst"].to_numpy(), k)
         return pd.DataFrame({"query_id": ids[row], "vec_id": near, "score": score})
 
-    found = asked.groupBy("block", "slab").cogroup(held.groupBy("block", "slab")).applyInPandas(one, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a slab at most
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return asked.groupBy("block", "slab").cogroup(held.groupBy("block", "slab")).applyInPandas(one, "query_id long, vec_id long, score double")
+
+
+def search(codes: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    """query_id, rank (int, from 1), vec_id, score: for each row of codes that is_query holds for, the k nearest of all rows. Runs at once, but for the last round.
+
+    Rows with the query's id are its own and no candidates; of query rows with
+    one id and different vectors one counts (the least in bytes). Repeated rows
+    are candidates each. Scores tie to the smaller vec_id; with fewer
+    candidates all are given; without any there is no row for the query.
+    """
+    queries = cut(codes.filter(is_query).groupBy("id").agg(F.min("raw").alias("raw")))
+    n_queries, n = queries.count(), codes.count()
+    turn = F.pmod(F.xxhash64("id", "raw"), F.lit(1 << 40)) / float(1 << 40)  # spreads rows evenly over 0 to 1, whatever their vectors
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best, seen = None, 0
+    while best is None or seen < n:
+        upto = min(n, seen * GROWTH or FIRST)
+        part = codes.filter((turn >= seen / max(n, 1)) & (turn < upto / n) if upto < n else turn >= seen / max(n, 1))
+        if best is None:
+            asked = queries.withColumn("worst", F.lit(float("-inf")))
+        else:
+            best = cut(best)
+            worst = best.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("worst"))
+            asked = queries.join(worst, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
+        found = _round(asked, part, n_queries, upto - seen, k)
+        found = found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)
+        best = found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        seen = upto
+    return best
 
 
 def digest(vectors: DataFrame) -> DataFrame:

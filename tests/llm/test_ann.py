@@ -39,8 +39,10 @@ def test_fewer_candidates_and_empty_tables(spark):
 
 @pytest.mark.parametrize("dim", [3, 64, 300])
 def test_recall_and_lengths(spark, dim, monkeypatch):
-    """Vectors of very different lengths, dealt into several blocks and slabs: nearly all true neighbours, with exact scores."""
-    monkeypatch.setattr(ann, "SMALL_SLAB", 200)
+    """Vectors of very different lengths, in several rounds, blocks and slabs: nearly all true neighbours, with exact scores."""
+    monkeypatch.setattr(ann, "LEAST_SLAB", 100)
+    monkeypatch.setattr(ann, "FIRST", 150)
+    monkeypatch.setattr(ann, "GROWTH", 3)
     rng = np.random.default_rng(dim)
     rows = [(i, (rng.standard_normal(dim) * rng.choice([0.01, 1.0, 30.0])).tolist()) for i in range(1500)]
     found, want = {tuple(r) for r in ann.digest(frame(spark, rows)).collect()}, brute(rows)
