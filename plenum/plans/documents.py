@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.operators import nested
-from plenum.sources.tables import read, shared_folder
+from plenum.plans.streams import by_slices
+from plenum.sources.tables import read, work_folder
 from plenum.streaming import conversations
 
 
@@ -56,35 +55,38 @@ def committee_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of messages and reads."""
-    schema = read(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream of messages and reads, a slice of time a batch."""
     kind = F.when(F.col("event_type") == "view", "read").otherwise(conversations.MESSAGE)
-    return events.select(kind.alias("type"), F.col("user_id").cast("string").alias("partner_id"), F.col("event_type").alias("text"), F.col("ts").alias("created_at"), (F.col("event_type") == "view").alias("thread_open"))
+    return by_slices(read(spark, sf_dir, "events").select(kind.alias("type"), F.col("user_id").cast("string").alias("partner_id"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_type") == "view").alias("thread_open")), "created_at")
 
 
-def _kept(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows of all batches with batch, their number, written to the shared folder; runs at once."""
+def _kept(stream: DataFrame, mode: str, dealt=lambda rows: rows) -> DataFrame:
+    """The rows of all batches with batch, their number, written to the shared folder as dealt; runs at once."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    conversations.run_to_end(stream, folder, mode, lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/rows"))
+    folder = work_folder(spark)
+    conversations.run_to_end(stream, folder, mode, lambda rows, n: dealt(rows).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}"))
     return spark.read.parquet(f"{folder}/rows")
 
 
+def _newest(updates: DataFrame) -> DataFrame:
+    """The newest row of each key, with the time as the tables have it."""
+    return conversations.latest_of_updates(updates).withColumn("last_time", F.col("last_time").cast("timestamp_ntz"))
+
+
 def message_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation state from a stream over the events: each batch writes the keys that it changed, and the newest row of each key counts."""
-    return conversations.latest_of_updates(_kept(conversations.state(_events(spark, sf_dir)), "update"))
+    return _newest(_kept(conversations.state(_events(spark, sf_dir)), "update"))
 
 
 def message_stream_with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation state where reading a thread sets its unread count back."""
-    return conversations.latest_of_updates(_kept(conversations.state_with_resets(_events(spark, sf_dir)), "update"))
+    return _newest(_kept(conversations.state_with_resets(_events(spark, sf_dir)), "update"))
 
 
 def message_stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of open threads, appended as they come, dealt by receiver."""
     sent = _events(spark, sf_dir).filter("type = 'message'").withColumn("to", F.col("partner_id"))
-    return _kept(sent, "append").select("to", "text", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return _kept(sent, "append", conversations.routed).select("to", "text", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def fresh_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

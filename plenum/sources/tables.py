@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +57,24 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{tempfile.gettempdir()}/plenum-checkpoint"
     return folder.rstrip("/")
+
+
+#: Folders of this process, to be deleted when it ends.
+_OWNED: list[tuple[SparkSession, str]] = []
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one. Frames read from it are lazy, so it stays until the process ends, or drop_folders()."""
+    if not _OWNED:
+        atexit.register(drop_folders)
+    _OWNED.append((spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"))
+    return _OWNED[-1][1]
+
+
+def drop_folders() -> None:
+    """Deletes all folders of this process; a session that has ended leaves its own."""
+    while _OWNED:
+        spark, folder = _OWNED.pop()
+        with contextlib.suppress(Exception):  # the session, or its JVM, may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
