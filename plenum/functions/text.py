@@ -69,8 +69,16 @@ def xml_escaped(text: Column) -> Column:
 
 
 def hash31(text: Column) -> Column:
-    """Polynomial hash to the base 31 over character codes, modulo 2**32 (long)."""
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Polynomial hash to the base 31 over UTF-16 code units, modulo 2**32 (long)."""
+    step = lambda h, unit: (h * 31 + unit).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def add(h: Column, character: Column) -> Column:
+        c = F.ascii(character).cast("long")
+        pair = step(step(h, F.floor((c - 0x10000) / 0x400) + 0xD800), F.pmod(c, F.lit(0x400)) + 0xDC00)
+        return F.when(c < 0x10000, step(h, c)).otherwise(pair)
+
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(characters, F.lit(0).cast("long"), add)
 
 
 def certificate_code(text: Column) -> Column:

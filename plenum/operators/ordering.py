@@ -20,6 +20,11 @@ def newest_first(rows: DataFrame, owner: str, at: str, key: str, who: str | Colu
     return placed(rows, [owner], F.col(at).desc_nulls_last(), F.col(key).desc())
 
 
+def by_locale(text: Column) -> Column:
+    """text to sort by as readers expect it: letters by alphabet, accents and then case only between equal letters."""
+    return F.collate(text, "UNICODE")
+
+
 def first_k(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 

@@ -83,8 +83,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "initials": "SELECT c_custkey AS id, upper(concat(substring(c_name, 1, 1), substring(c_mktsegment, 1, 1))) AS initials, upper(right(c_name, 8)) AS badge FROM {customer}",
     "slug": ("SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '.'), '^[.]|[.]$', '') AS slug FROM {part}", "SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '.', 'g'), '^[.]|[.]$', '', 'g') AS slug FROM {part}"),
     "concat_nonempty": "SELECT c_custkey AS id, concat_ws(', ', nullif(c_name, ''), nullif(c_mktsegment, 'BUILDING')) AS line FROM {customer}",
-    "cert_hash": ("SELECT c_custkey AS id, concat('0x', lpad(lower(hex(aggregate(split(c_name, ''), 0L, (a, x) -> (a * 31 + ascii(x)) & 4294967295L))), 16, '0')) AS hash FROM {customer}", "SELECT c_custkey AS id, concat('0x', lpad(lower(hex(list_reduce(list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: (a * 31 + x) & 4294967295, CAST(0 AS BIGINT)))), 16, '0')) AS hash FROM {customer}"),
-    "palette_index": ("SELECT id, CASE WHEN u >= 2147483648 THEN 4294967296 - u ELSE u END % 8 AS palette FROM (SELECT c_custkey AS id, aggregate(split(c_name, ''), 0L, (a, x) -> (a * 31 + ascii(x)) & 4294967295L) AS u FROM {customer}) h", "SELECT id, CASE WHEN u >= 2147483648 THEN 4294967296 - u ELSE u END % 8 AS palette FROM (SELECT c_custkey AS id, list_reduce(list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: (a * 31 + x) & 4294967295, CAST(0 AS BIGINT)) AS u FROM {customer}) h"),
     "location_parse": "SELECT c_custkey AS id, regexp_extract(place, '^(.*?) *[(]([^)]+)[)] *$', 1) AS country, regexp_extract(place, '^(.*?) *[(]([^)]+)[)] *$', 2) AS venue FROM (SELECT c_custkey, concat(n_name, ' (', c_name, ')') AS place FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey) c",
     "split_keywords": ("SELECT doc_id, CAST(size(filter(transform(split(text, ','), x -> trim(x)), x -> x <> '')) AS BIGINT) AS keywords FROM {documents}", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')) AS BIGINT) AS keywords FROM {documents}"),
     "currency_labels": ("SELECT o_orderkey AS id, concat('$', format_number(CAST(floor(o_totalprice) AS BIGINT), 0)) AS label FROM {orders}", "SELECT o_orderkey AS id, concat('$', format('{:,}', CAST(floor(o_totalprice) AS BIGINT))) AS label FROM {orders}"),

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.functions import dates, scores, text
-from plenum.operators import ordering, tables
+from plenum.operators import ordering, tables, trigrams
 from plenum.plans.standins import Tables, with_ctes
 from plenum.services import activity, discovery, messages, people, posts, sponsors
 from plenum.sources import schemas
+from plenum.sources.tables import work_folder
 
 #: What stands for the present, so that results don't change.
 NOW = "TIMESTAMP '2024-06-01 12:00:00'"
@@ -113,12 +114,52 @@ def registrations_of_one_user(t: Tables) -> DataFrame:
     return activity.registrations_of(t.registrations, "u7").select("conference_id", "place")
 
 
-@query("SELECT organizer_id, string_agg(id || '=' || n, ',' ORDER BY id) AS counts FROM (SELECT c.organizer_id, c.id, count(*) AS n FROM registrations r JOIN conferences c ON c.id = conference_id GROUP BY ALL) x GROUP BY organizer_id")
+@query("SELECT conference_id, count(*) AS n FROM registrations GROUP BY conference_id")
+def registration_counts(t: Tables) -> DataFrame:
+    return activity.registration_counts(t.registrations)
+
+
+@query("SELECT organizer_id, string_agg(id || '=' || n, ',' ORDER BY id) AS counts FROM (SELECT c.organizer_id, c.id, count(r.id) AS n FROM conferences c LEFT JOIN registrations r ON c.id = conference_id GROUP BY ALL) x GROUP BY organizer_id")
 def registration_maps(t: Tables) -> DataFrame:
-    found = activity.registration_counts(t.registrations, t.conferences)
+    found = activity.registration_maps(t.registrations, t.conferences)
     return found.select("organizer_id", _joined(F.map_entries("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))).alias("counts"))
 
 
+_FIELDS = {"title": "$.title string", "city": "$.location.city string", "first_topic": "$.topics[0] string", "price": "$.price double"}
+_DOCUMENT = "json_valid(data) AS valid, CASE WHEN json_valid(data) THEN data->>'$.title' END AS title, CASE WHEN json_valid(data) THEN data->>'$.location.city' END AS city, CASE WHEN json_valid(data) THEN data->>'$.topics[0]' END AS first_topic, CASE WHEN json_valid(data) THEN TRY_CAST(data->>'$.price' AS DOUBLE) END AS price"
+
+
+@query(f"SELECT organizer_id, row_number() OVER (PARTITION BY organizer_id ORDER BY created_at DESC NULLS LAST, id DESC) - 1 AS place, id, {_DOCUMENT} FROM created")
+def conferences_by_organizer(t: Tables) -> DataFrame:
+    rows = activity.conference_fields(activity.conferences_of(t.created_conferences), **_FIELDS)
+    return rows.select("organizer_id", "place", "id", F.col("document").isNotNull().alias("valid"), *_FIELDS)
+
+
+@query(f"SELECT organizer_id, id, {_DOCUMENT}, {SECONDS.format('created_at')} AS created_at FROM created")
+def all_conferences(t: Tables) -> DataFrame:
+    rows = activity.conference_fields(activity.all_conferences(t.created_conferences), **_FIELDS)
+    return rows.select("organizer_id", "id", F.col("document").isNotNull().alias("valid"), *_FIELDS, _seconds("created_at").alias("created_at"))
+
+
+@query("SELECT id AS asked, CASE WHEN NOT json_valid(data) OR json_type(data, '$.id') IS DISTINCT FROM 'VARCHAR' OR coalesce(trim(data->>'$.title'), '') = '' OR json_type(data, '$.title') <> 'VARCHAR' THEN 'conference' END AS reason FROM created")
+def conferences_checked(t: Tables) -> DataFrame:
+    asked = t.created_conferences.select(F.col("id").alias("asked"), "organizer_id", "data")
+    return activity.new_conferences(asked).select("asked", "reason")
+
+
+@query("SELECT 'u' || o_custkey AS organizer_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, 'b' || o_orderkey DESC) - 1 AS place, 'b' || o_orderkey AS id, o_orderpriority AS recipient_group FROM orders")
+def broadcasts_by_organizer(t: Tables) -> DataFrame:
+    sent = t.raw("orders").selectExpr("concat('b', o_orderkey) AS id", "concat('u', o_custkey) AS organizer_id", "o_orderpriority AS recipient_group", "o_orderstatus AS subject", "o_orderdate AS created_at")
+    return activity.broadcasts_of(sent).select("organizer_id", "place", "id", "recipient_group")
+
+
+@query("SELECT id, round((a + b) / 2.0, 2) AS overall_score FROM (SELECT 'f' || event_id AS id, user_id % 5 + 1 AS a, event_id % 4 + 1 AS b FROM events) e")
+def feedback_added(t: Tables) -> DataFrame:
+    new = t.raw("events").selectExpr("concat('f', event_id) AS id", "concat('u', user_id) AS user_id", "map('venue', CAST(user_id % 5 + 1 AS DOUBLE), 'talks', CAST(event_id % 4 + 1 AS DOUBLE)) AS ratings")
+    old = new.limit(0).selectExpr("id", "user_id", "to_json(ratings) AS ratings", "CAST(NULL AS DOUBLE) AS overall_score")
+    return activity.with_feedback(old, new).select("id", "overall_score")
+
+
 @query("SELECT user_id, coalesce(string_agg(conference_id, ',' ORDER BY conference_id) FILTER (WHERE type = 'saved'), '') AS saved, coalesce(string_agg(conference_id, ',' ORDER BY conference_id) FILTER (WHERE type = 'followed'), '') AS followed FROM interactions GROUP BY user_id")
 def saved_and_followed(t: Tables) -> DataFrame:
     return activity.interactions_of(t.interactions).select("user_id", _joined("saved").alias("saved"), _joined("followed").alias("followed"))
@@ -163,9 +204,11 @@ def profile_histories(t: Tables) -> DataFrame:
     return activity.profile_history(achieved, lived).withColumn("year", F.col("year").cast("long"))
 
 
-@query("SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey AS id, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderpriority, o_orderkey) - 1 AS place FROM orders")
+@query(
+    """SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY tm COLLATE en, id) - 1 AS place FROM (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN lower(o_orderpriority) WHEN 'O' THEN replace(o_orderpriority, 'E', 'É') ELSE o_orderpriority END AS tm FROM orders) x"""
+)
 def program_by_day_and_time(t: Tables) -> DataFrame:
-    items = t.raw("orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("time"), F.col("o_orderkey").alias("id"))
+    items = t.raw("orders").selectExpr("to_date(o_orderdate) AS day", "CASE o_orderstatus WHEN 'F' THEN lower(o_orderpriority) WHEN 'O' THEN replace(o_orderpriority, 'E', 'É') ELSE o_orderpriority END AS time", "o_orderkey AS id")
     return activity.agenda_places(items, "day", "time", "id").drop("time")
 
 
@@ -194,19 +237,22 @@ def sponsor_histories(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT a.id, organizer_id, row_number() OVER (PARTITION BY organizer_id ORDER BY a.created_at DESC, a.id DESC) - 1 AS place, tier, status, coalesce(nullif(u.organization, ''), nullif(u.name, ''), 'Unknown Sponsor') AS company, round(coalesce(rating, 0.0), 6) AS rating, coalesce(n_reviews, 0) AS reviews, coalesce(approved, 0) AS approved, coalesce(md5(h), md5('')) AS history
+    f"""SELECT 'application' AS kind, a.id, organizer_id AS owner, row_number() OVER (PARTITION BY organizer_id ORDER BY a.created_at DESC, a.id DESC) - 1 AS place, a.sponsor_id, tier, status, coalesce(nullif(u.organization, ''), nullif(u.name, ''), 'Unknown Sponsor') AS title, round(coalesce(rating, 0.0), 6) AS rating, coalesce(n_reviews, 0) AS reviews, coalesce(approved, 0) AS approved, CAST(NULL AS BIGINT) AS year
     FROM applications a JOIN packages p ON p.id = package_id LEFT JOIN users u ON u.id = a.sponsor_id LEFT JOIN (SELECT sponsor_id, avg(rating) AS rating, count(*) AS n_reviews FROM sponsor_reviews GROUP BY 1) r ON r.sponsor_id = a.sponsor_id
-    LEFT JOIN (SELECT sponsor_id, count(*) AS approved, string_agg(title || '/' || tier || '/' || year, ',' ORDER BY place) AS h FROM ({_HISTORY}) x GROUP BY 1) s ON s.sponsor_id = a.sponsor_id"""
+    LEFT JOIN (SELECT sponsor_id, count(*) AS approved FROM applications WHERE status = 'Approved' GROUP BY 1) s ON s.sponsor_id = a.sponsor_id
+    UNION ALL SELECT 'history', NULL, sponsor_id, place, sponsor_id, tier, NULL, title, NULL, NULL, NULL, year FROM ({_HISTORY}) h"""
 )
 def applicant_documents(t: Tables) -> DataFrame:
-    d = sponsors.applicants(t.applications, t.packages, t.users, t.sponsor_reviews, F.expr(NOW))
-    told = _joined("history", lambda h: F.concat_ws("/", h["title"], h["tier"], h["year"].cast("string")))
-    return d.select("id", "organizer_id", "place", "tier", "status", "company", F.round("rating", 6).alias("rating"), "reviews", "approved", F.md5(F.coalesce(told, F.lit("")).cast("binary")).alias("history"))
+    """The applications of each organizer, and once per sponsor the history that their sponsor_id refers to."""
+    d = sponsors.applicants(t.applications, t.packages, t.users, t.sponsor_reviews)
+    d = d.select(F.lit("application").alias("kind"), "id", F.col("organizer_id").alias("owner"), "place", "sponsor_id", "tier", "status", F.col("company").alias("title"), F.round("rating", 6).alias("rating"), "reviews", "approved")
+    past = sponsors.history(t.applications, t.packages, F.expr(NOW)).select(F.lit("history").alias("kind"), F.col("sponsor_id").alias("owner"), "place", "sponsor_id", "tier", "title", F.col("year").cast("long").alias("year"))
+    return d.unionByName(past, allowMissingColumns=True)
 
 
 @query("SELECT a.id, row_number() OVER (ORDER BY a.created_at DESC, a.id DESC) - 1 AS place, coalesce(approved, 0) AS approved FROM applications a JOIN packages p ON p.id = package_id LEFT JOIN (SELECT sponsor_id, count(*) AS approved FROM applications WHERE status = 'Approved' GROUP BY 1) s ON s.sponsor_id = a.sponsor_id WHERE organizer_id = 'Brand#12'")
 def applicants_of_one_organizer(t: Tables) -> DataFrame:
-    return sponsors.applicants(t.applications, t.packages, t.users, t.sponsor_reviews, F.expr(NOW), "Brand#12").select("id", "place", "approved")
+    return sponsors.applicants(t.applications, t.packages, t.users, t.sponsor_reviews, "Brand#12").select("id", "place", "approved")
 
 
 @query("SELECT DISTINCT organizer_id, sponsor_id, coalesce(nullif(u.organization, ''), nullif(u.name, ''), 'Unknown Sponsor') AS company FROM applications a JOIN packages p ON p.id = package_id LEFT JOIN users u ON u.id = sponsor_id WHERE status = 'Approved'")
@@ -214,11 +260,12 @@ def reviewable_sponsors(t: Tables) -> DataFrame:
     return sponsors.reviewable(t.applications, t.packages, t.users)
 
 
-@query("SELECT sponsor_id, count(*) > 0 AS allowed FROM (VALUES ('s1'), ('s2'), ('none')) v(sponsor_id) LEFT JOIN (SELECT sponsor_id AS s FROM applications a JOIN packages p ON p.id = package_id WHERE status = 'Approved' AND organizer_id = 'Brand#12') x ON s = sponsor_id GROUP BY sponsor_id HAVING count(s) > 0 UNION ALL SELECT 'none', false")
+@query("SELECT p.organizer_id, a.sponsor_id, bool_or(coalesce(x.allowed, false)) AS allowed FROM (SELECT DISTINCT organizer_id FROM packages UNION SELECT 'nobody') p CROSS JOIN (SELECT DISTINCT sponsor_id FROM applications WHERE status = 'Pending') a LEFT JOIN (SELECT organizer_id, sponsor_id, true AS allowed FROM applications JOIN packages q ON q.id = package_id WHERE status = 'Approved') x ON x.organizer_id = p.organizer_id AND x.sponsor_id = a.sponsor_id WHERE EXISTS (SELECT 1 FROM applications b JOIN packages q ON q.id = b.package_id WHERE b.status = 'Pending' AND b.sponsor_id = a.sponsor_id AND (q.organizer_id = p.organizer_id OR p.organizer_id = 'nobody')) GROUP BY ALL")
 def sponsors_that_may_be_reviewed(t: Tables) -> DataFrame:
-    asked = ("s1", "s2", "none")
-    found = [(s, sponsors.may_review("Brand#12", s, t.applications, t.packages)) for s in asked]
-    return t.spark.createDataFrame([x for x in found if x[1] or x[0] == "none"], "sponsor_id string, allowed boolean")
+    """Whether organizers may review the sponsors with a pending application to them; nobody stands for one without packages."""
+    pending = t.applications.filter("status = 'Pending'").join(t.packages.select(F.col("id").alias("package_id"), "organizer_id"), "package_id")
+    asked = pending.select(F.explode(F.array("organizer_id", F.lit("nobody"))).alias("organizer_id"), "sponsor_id").distinct()
+    return sponsors.may_review(asked, t.applications, t.packages)
 
 
 @query("SELECT sponsor_id, row_number() OVER (PARTITION BY sponsor_id ORDER BY r.created_at DESC, r.id DESC) - 1 AS place, name AS reviewer, 'Organizer' AS reviewer_role, rating, strftime(r.created_at, '%Y-%m-%d') AS day FROM sponsor_reviews r JOIN users u ON u.id = organizer_id")
@@ -282,7 +329,7 @@ def organizer_revenue(t: Tables) -> DataFrame:
 
 @query("SELECT u.id, coalesce(nullif(organization, ''), name) AS company, coalesce(country, '') AS country, round(coalesce(r, 0.0), 6) AS rating, coalesce(n, 0) = 0 OR r >= 3.0 AS verified FROM users u LEFT JOIN (SELECT sponsor_id, avg(rating) AS r, count(*) AS n FROM sponsor_reviews GROUP BY 1) s ON sponsor_id = u.id WHERE role = 'sponsor'")
 def sponsor_profiles(t: Tables) -> DataFrame:
-    stats = sponsors.statistics(t.applications, t.packages, t.sponsor_reviews, F.expr(NOW)).drop("history")
+    stats = sponsors.statistics(t.applications, t.sponsor_reviews)
     return sponsors.profile(t.users, stats).select("id", "identity.company", "identity.country", F.round("derived.rating", 6).alias("rating"), "derived.verified")
 
 
@@ -297,11 +344,12 @@ def packages_for_own_conferences(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH sides AS (SELECT conversation_id, sender_id AS me, other AS partner_id FROM messages UNION SELECT conversation_id, other, sender_id FROM messages), last AS (SELECT conversation_id, arg_max(text, created_at) AS t, max(created_at) AS tm FROM messages GROUP BY 1), un AS (SELECT conversation_id, sender_id, count(*) AS n FROM messages WHERE read_at IS NULL GROUP BY 1, 2)
-    SELECT me, row_number() OVER (PARTITION BY me ORDER BY tm DESC, s.conversation_id DESC) - 1 AS place, partner_id, name AS partner, t AS last_message, {SECONDS.format('tm')} AS last_time, coalesce(n, 0) AS unread
-    FROM sides s JOIN users u ON u.id = partner_id JOIN last l ON l.conversation_id = s.conversation_id LEFT JOIN un ON un.conversation_id = s.conversation_id AND un.sender_id = partner_id"""
+    SELECT me, row_number() OVER (PARTITION BY me ORDER BY tm DESC, conversation_id DESC) - 1 AS place, partner_id, name AS partner, t AS last_message, {SECONDS.format('tm')} AS last_time, coalesce(n, 0) AS unread
+    FROM (SELECT s.conversation_id, me, partner_id, t, tm, n FROM sides s JOIN last l ON l.conversation_id = s.conversation_id LEFT JOIN un ON un.conversation_id = s.conversation_id AND un.sender_id = partner_id
+          UNION ALL SELECT id, user_a, user_b, NULL, created_at, NULL FROM quiet UNION ALL SELECT id, user_b, user_a, NULL, created_at, NULL FROM quiet) x JOIN users u ON u.id = partner_id"""
 )
 def conversations_by_user(t: Tables) -> DataFrame:
-    rows = messages.conversations_of(t.conversations, t.messages, t.users)
+    rows = messages.conversations_of(t.conversations.unionByName(t.quiet_conversations), t.messages, t.users)
     return rows.select("me", "place", "partner_id", "partner", "last_message", _seconds("last_time").alias("last_time"), "unread")
 
 
@@ -334,7 +382,8 @@ def message_events(t: Tables) -> DataFrame:
 
 @query("SELECT id, name FROM users WHERE name ILIKE '%r#0000_01%' AND id <> 'u11' ORDER BY name, id LIMIT 10")
 def people_search(t: Tables) -> DataFrame:
-    return messages.people_search(t.users, "r#0000_01", "u11").select("id", "name")
+    """The first ten for a query with white space around it; an empty query adds nobody."""
+    return messages.people_search(t.users, " r#0000_01 ", "u11").unionByName(messages.people_search(t.users, "  ", "u11")).select("id", "name")
 
 
 @query(
@@ -348,11 +397,13 @@ def notification_lists(t: Tables) -> DataFrame:
     return messages.notifications(messages.conversations_of(t.conversations, t.messages, t.users), acts).drop("type")
 
 
-@query("SELECT 'u' || (event_id % 23) AS me, CAST(0 AS BIGINT) AS waiting_messages, count(*) AS waiting_activity FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_id % 23")
+@query(
+    """SELECT me, count(*) FILTER (WHERE kind = 'message') AS waiting_messages, count(*) FILTER (WHERE kind = 'activity') AS waiting_activity FROM (SELECT DISTINCT other AS me, 'message' AS kind, conversation_id AS id FROM messages m JOIN users u ON u.id = sender_id WHERE read_at IS NULL
+    UNION ALL SELECT 'u' || (event_id % 23), 'activity', CAST(event_id AS VARCHAR) FROM events WHERE event_type IN ('click', 'purchase')) x GROUP BY me"""
+)
 def notification_counts(t: Tables) -> DataFrame:
     acts = t.actions.select(F.expr("concat('u', CAST(CAST(substr(id, 2) AS BIGINT) % 23 AS STRING))").alias("me"), "id", "kind", F.col("user_id").alias("actor"), "conference_title", F.col("created_at").alias("at"))
-    none = messages.conversations_of(t.conversations, t.messages, t.users).filter("unread < 0")
-    return messages.bell(messages.notifications(none, acts))
+    return messages.bell(messages.notifications(messages.conversations_of(t.conversations, t.messages, t.users), acts))
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'empty' WHEN length(trim(text, ' ' || chr(10))) > 4000 THEN 'too long' END AS reason FROM documents) x GROUP BY reason")
@@ -363,10 +414,10 @@ def message_checks(t: Tables) -> DataFrame:
 # People
 
 
-@query("SELECT id, email, role, name, coalesce(organization, '') AS organization, coalesce(title, '') AS title, coalesce(country, '') AS country, reviewer_available, google_id IS NOT NULL AS external FROM users")
+@query("SELECT id, email, role, name, organization, title, country, coalesce(reviewer_available, false) AS reviewer_available FROM users")
 def public_users(t: Tables) -> DataFrame:
     users = t.users.withColumns({c: F.lit(None).cast("string") for c in ("department", "city", "bio")})
-    return people.public(users).select("id", "email", "role", "name", "organization", "title", "country", "reviewer_available", "external")
+    return people.public(users).select("id", "email", "role", "name", "organization", "title", "country", "reviewer_available")
 
 
 @query("SELECT id, name, title, organization FROM users")
@@ -388,12 +439,30 @@ def numbers_checked(t: Tables) -> DataFrame:
     return t.raw("orders").select(F.col("o_orderkey").alias("id"), people.number_between(shown, 0, 300_000).alias("number"), people.number_between(shown, 0, 300_000, whole=True).alias("whole"))
 
 
-@query("SELECT id, CASE WHEN role = 'organizer' THEN 'New ' || id ELSE name END AS name, CASE WHEN role = 'organizer' THEN 'Prof.' ELSE title END AS title, country FROM users")
+@query(
+    """SELECT u.id, CASE WHEN good AND c_nationkey IN (0, 3) THEN 'New ' || u.id ELSE name END AS name, CASE WHEN good AND c_nationkey = 1 THEN NULL WHEN good AND c_nationkey = 3 THEN 'Prof.' ELSE title END AS title, CASE WHEN good AND c_nationkey IN (2, 3) THEN NULL ELSE country END AS country
+    FROM users u LEFT JOIN (SELECT 'u' || c_custkey AS id, c_nationkey, c_nationkey < 4 AS good FROM customer) c ON c.id = u.id"""
+)
 def profiles_updated(t: Tables) -> DataFrame:
-    changes = t.users.filter("role = 'organizer'").select("id", F.concat(F.lit(" New "), "id", F.lit(" ")).alias("name"), F.lit("Prof.").alias("title"), F.lit(None).cast("string").alias("country"))
+    """Fields that are given replace or clear the old ones, others stay; an empty name or a bio that is too long changes nothing."""
+    fields = (
+        F.when(F.col("c_nationkey") == 0, F.create_map(F.lit("name"), F.concat(F.lit(" New u"), F.col("c_custkey").cast("string"), F.lit(" ")), F.lit("role"), F.lit("organizer")))
+        .when(F.col("c_nationkey") == 1, F.create_map(F.lit("title"), F.lit(None).cast("string")))
+        .when(F.col("c_nationkey") == 2, F.create_map(F.lit("country"), F.lit("  ")))
+        .when(F.col("c_nationkey") == 3, F.create_map(F.lit("name"), F.concat(F.lit("New u"), F.col("c_custkey").cast("string")), F.lit("title"), F.lit("Prof."), F.lit("country"), F.lit(""), F.lit("bio"), F.repeat(F.lit("b"), 600)))
+        .when(F.col("c_nationkey") == 4, F.create_map(F.lit("name"), F.lit("  "), F.lit("title"), F.lit("lost")))
+        .otherwise(F.create_map(F.lit("title"), F.lit("lost"), F.lit("bio"), F.repeat(F.lit("b"), 601)))
+    )
+    changes = t.raw("customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("id"), fields.alias("fields"))
     return people.profile_updates(t.users, changes).select("id", "name", "title", "country")
 
 
+@query("SELECT c_nationkey AS nation, c_nationkey < 3 AS allowed, count(*) AS n FROM customer GROUP BY ALL")
+def avatars_checked(t: Tables) -> DataFrame:
+    url = F.when(F.col("c_nationkey") == 0, F.lit(None)).when(F.col("c_nationkey") < 3, F.concat(F.lit("data:image/png;base64,"), F.col("c_name"))).when(F.col("c_nationkey") == 3, F.concat(F.lit("data:image/"), F.repeat(F.lit("x"), people.AVATAR_MOST))).otherwise(F.concat(F.lit("https://"), F.col("c_name")))
+    return t.raw("customer").select(F.col("c_nationkey").alias("nation"), people.allowed_avatar(url).alias("allowed")).groupBy("nation", "allowed").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT id, reviewer_available OR id = 'u5' AS available FROM users")
 def availability_set(t: Tables) -> DataFrame:
     return people.availability(t.users, "u5", True).select("id", F.col("reviewer_available").alias("available"))
@@ -429,10 +498,13 @@ def active_facets(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i, s.active()) for i, s in enumerate(searches)], "id int, active int")
 
 
-@query("SELECT p_brand AS industry, row_number() OVER (ORDER BY p_brand) - 1 AS place FROM (SELECT DISTINCT p_brand FROM listed WHERE p_brand <> '') x")
+@query(
+    """SELECT industry, row_number() OVER (ORDER BY industry COLLATE en) - 1 AS place FROM (SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN lower(p_type) WHEN 1 THEN replace(p_type, 'E', 'É') WHEN 2 THEN replace(lower(p_type), 'e', 'é') WHEN 3 THEN p_type ELSE p_brand END AS industry FROM part) x"""
+)
 def industry_options(t: Tables) -> DataFrame:
-    options = discovery.industries(t.listed_conferences)  # a few dozen
-    return ordering.placed(options.withColumn("_all", F.lit(1)), ["_all"], F.col("industry")).drop("_all")
+    mixed = "CASE p_size % 5 WHEN 0 THEN lower(p_type) WHEN 1 THEN replace(p_type, 'E', 'É') WHEN 2 THEN replace(lower(p_type), 'e', 'é') WHEN 3 THEN p_type ELSE p_brand END AS industry"
+    options = discovery.industries(t.raw("part").selectExpr(mixed))  # a few dozen
+    return ordering.placed(options.withColumn("_all", F.lit(1)), ["_all"], ordering.by_locale(F.col("industry"))).drop("_all")
 
 
 @query("SELECT min(low) AS low, max(high) AS high FROM listed")
@@ -658,11 +730,9 @@ def conferences_accepted_for(t: Tables) -> DataFrame:
 @query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey = 7 UNION ALL SELECT -5, 'appended'")
 def written_and_read(t: Tables) -> DataFrame:
     """Rows written as JSON to the shared folder, some appended, and read back by their schema."""
-    import uuid
-
-    from plenum.sources.tables import append_json, read_json, shared_folder
+    from plenum.sources.tables import append_json, read_json
 
-    path = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    path = work_folder(t.spark)
     append_json(t.raw("customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), path)
     append_json(t.spark.createDataFrame([(-5, "appended")], "id long, name string"), path)
     return read_json(t.spark, path, "id long, name string")
@@ -687,3 +757,30 @@ def _merged(sql: str) -> str:
         return with_ctes(own)
     head = with_ctes(own)
     return head if head == own else head[: len(head) - len(own)].rstrip() + ", " + own.removeprefix("WITH ")
+
+
+# Hashes of UTF-16 units, and substring search with postings
+
+_UNITS = "list_reduce(list_prepend(CAST(0 AS BIGINT), flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [CAST(unicode(c) AS BIGINT)] ELSE [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] END))), lambda a, x: (a * 31 + x) & 4294967295)"
+
+
+@query(f"SELECT c_custkey AS id, '0x' || lpad(lower(hex({_UNITS.format('c_name || chr(128512) || c_mktsegment')})), 16, '0') AS hash FROM customer")
+def cert_hash(t: Tables) -> DataFrame:
+    return t.raw("customer").select(F.col("c_custkey").alias("id"), text.certificate_code(F.concat("c_name", F.lit("\U0001f600"), "c_mktsegment")).alias("hash"))
+
+
+@query(f"SELECT id, CASE WHEN u >= 2147483648 THEN 4294967296 - u ELSE u END % 8 AS palette FROM (SELECT c_custkey AS id, {_UNITS.format('c_name || chr(119070) || c_custkey')} AS u FROM customer) h")
+def palette_index(t: Tables) -> DataFrame:
+    return t.raw("customer").select(F.col("c_custkey").alias("id"), text.palette_index(F.concat("c_name", F.lit("\U0001d11e"), F.col("c_custkey").cast("string"))).alias("palette"))
+
+
+SEARCHED = ("MIT license", "the ", "ung", "é", "password")
+
+
+@query("SELECT q AS query, doc_id FROM documents, (SELECT unnest(" + str(list(SEARCHED)) + ") AS q) x WHERE contains(lower(text), lower(q))")
+def documents_with_text(t: Tables) -> DataFrame:
+    """Documents that hold each of some texts, by a posting table over all documents."""
+    docs = t.raw("documents").select("doc_id", "text")
+    postings = trigrams.Postings(t.spark, work_folder(t.spark)).build(docs, "doc_id", "text")
+    found = [postings.search(docs, "doc_id", "text", q).select(F.lit(q).alias("query"), "doc_id") for q in SEARCHED]
+    return tables.union_all(*found)

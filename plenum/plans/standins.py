@@ -69,6 +69,18 @@ class Tables:
         pairs = self.messages.groupBy("conversation_id", F.least("sender_id", "other").alias("user_a"), F.greatest("sender_id", "other").alias("user_b"))
         return pairs.agg(F.min("created_at").alias("created_at")).withColumnRenamed("conversation_id", "id")
 
+    @cached_property
+    def quiet_conversations(self) -> DataFrame:
+        """Conversations that nobody has written in; some with a partner that doesn't exist."""
+        return self.raw("customer").filter("c_nationkey = 5").selectExpr("concat('quiet', c_custkey) AS id", "concat('u', c_custkey) AS user_a", "concat('u', c_custkey + 700) AS user_b", "timestamp_seconds(1704067200 + c_custkey * 977) AS created_at")
+
+    @cached_property
+    def created_conferences(self) -> DataFrame:
+        """Documents of different shapes; some aren't JSON."""
+        full = "to_json(named_struct('id', concat('c', p_partkey), 'title', p_name, 'location', named_struct('city', p_type), 'topics', array(p_brand, p_type), 'price', p_retailprice))"
+        data = f"CASE WHEN p_size < 4 THEN concat('{{\"id\": ', p_name) WHEN p_size < 10 THEN concat('{{\"title\":\"', p_type, '\",\"price\":\"free\",\"topics\":[]}}') WHEN p_size < 14 THEN concat('{{\"id\":', p_partkey, ',\"title\":\" \"}}') ELSE {full} END"
+        return self.raw("part").selectExpr("concat('c', p_partkey) AS id", "p_brand AS organizer_id", f"{data} AS data", "timestamp_seconds(1704067200 + p_size * 3600) AS created_at")
+
     @cached_property
     def actions(self) -> DataFrame:
         return self.raw("events").filter("event_type IN ('click', 'purchase')").selectExpr("concat('i', CAST(event_id AS STRING)) AS id", "concat('u', CAST(user_id AS STRING)) AS user_id", "concat('c', CAST(event_id % 211 AS STRING)) AS conference_id", "concat('Conf ', CAST(event_id % 211 AS STRING)) AS conference_title", "CASE event_type WHEN 'click' THEN 'committee_interest' ELSE 'sponsorship_inquiry' END AS kind", "ts AS created_at")
@@ -100,6 +112,8 @@ CTES = {
     "sponsor_reviews": f"SELECT {_LINE} AS id, 's' || l_suppkey AS sponsor_id, 'u' || (l_partkey % 160) AS organizer_id, 1 + CAST(l_quantity AS BIGINT) % 5 AS rating, l_shipdate AS created_at FROM lineitem WHERE l_returnflag = 'A'",
     "registrations": f"SELECT {_LINE} AS id, 'u' || o_custkey AS user_id, 'c' || (l_partkey + 20) AS conference_id, CASE WHEN l_linenumber > 4 THEN '' ELSE 'Own ' || l_partkey END AS conference_title, nullif(l_linestatus, 'O') AS package_name, l_shipdate AS registered_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "messages": "SELECT *, least(sender_id, other) || '_' || greatest(sender_id, other) AS conversation_id FROM (SELECT 'm' || event_id AS id, 'u' || user_id AS sender_id, 'u' || (event_id % 23) AS other, event_type || ' ' || props AS text, CASE WHEN event_type IN ('view', 'error') THEN ts END AS read_at, ts AS created_at FROM events) e WHERE sender_id <> other",
+    "quiet": "SELECT 'quiet' || c_custkey AS id, 'u' || c_custkey AS user_a, 'u' || (c_custkey + 700) AS user_b, make_timestamp(CAST(1704067200 + c_custkey * 977 AS BIGINT) * 1000000) AS created_at FROM customer WHERE c_nationkey = 5",
+    "created": "SELECT 'c' || p_partkey AS id, p_brand AS organizer_id, CASE WHEN p_size < 4 THEN '{\"id\": ' || p_name WHEN p_size < 10 THEN '{\"title\":\"' || p_type || '\",\"price\":\"free\",\"topics\":[]}' WHEN p_size < 14 THEN '{\"id\":' || p_partkey || ',\"title\":\" \"}' ELSE CAST(json_object('id', 'c' || p_partkey, 'title', p_name, 'location', json_object('city', p_type), 'topics', json_array(p_brand, p_type), 'price', p_retailprice) AS VARCHAR) END AS data, make_timestamp(CAST(1704067200 + p_size * 3600 AS BIGINT) * 1000000) AS created_at FROM part",
     "actions": "SELECT 'i' || event_id AS id, 'u' || user_id AS user_id, 'c' || (event_id % 211) AS conference_id, 'Conf ' || (event_id % 211) AS conference_title, CASE event_type WHEN 'click' THEN 'committee_interest' ELSE 'sponsorship_inquiry' END AS kind, ts AS created_at FROM events WHERE event_type IN ('click', 'purchase')",
     "interactions": "SELECT 't' || min(event_id) AS id, 'u' || user_id AS user_id, 'c' || (event_id % 31) AS conference_id, CASE event_type WHEN 'click' THEN 'saved' ELSE 'followed' END AS type FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id, event_type, event_id % 31",
     "listed": "SELECT p_partkey AS id, p_name, p_type, p_brand, p_size, CASE WHEN p_size <> 7 THEN DATE '2026-01-01' + CAST(p_partkey % 300 AS INTEGER) END AS s, CASE WHEN p_size <> 8 THEN DATE '2026-01-03' + CAST(p_partkey % 300 AS INTEGER) END AS e, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN p_size * 10 WHEN 2 THEN p_size ELSE 5 END AS low, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN p_size * 10 WHEN 2 THEN 1100 + p_size ELSE 9000 END AS high FROM part",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.functions.text import blank_or
+from plenum.functions.text import blank_or, strip
 from plenum.operators.nested import steps
-from plenum.operators.ordering import newest_first, placed
+from plenum.operators.ordering import by_locale, newest_first, placed
 from plenum.operators.tables import as_map, lists_by
 
 # The labels of the timeline, what a recommendation makes of a submission, and the states that end it.
@@ -101,10 +101,16 @@ def registrations_of(registrations: DataFrame, user: str | None = None) -> DataF
     return rows.select("user_id", "place", "conference_id", "conference_title", "package_name", "registered_at")
 
 
-def registration_counts(registrations: DataFrame, conferences: DataFrame) -> DataFrame:
-    """organizer_id, entries: how many registrations each of an organizer's conferences has, as a map."""
-    counts = registrations.groupBy(F.col("conference_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return as_map(conferences.select("id", "organizer_id").join(counts, "id"), "organizer_id", "id", "n")
+def registration_counts(registrations: DataFrame) -> DataFrame:
+    """conference_id, n: the entries of the map of registrations per conference, for all conferences that have any, known or not."""
+    return registrations.groupBy("conference_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def registration_maps(registrations: DataFrame, conferences: DataFrame) -> DataFrame:
+    """organizer_id, entries: how many registrations each of an organizer's conferences has, as a map; 0 for those without any."""
+    counts = registration_counts(registrations).withColumnRenamed("conference_id", "id")
+    own = conferences.select("id", "organizer_id").join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return as_map(own, "organizer_id", "id", "n")
 
 
 def interactions_of(interactions: DataFrame) -> DataFrame:
@@ -121,10 +127,36 @@ def broadcasts_of(broadcasts: DataFrame, organizer: str | None = None) -> DataFr
     return newest_first(broadcasts, "organizer_id", "created_at", "id", organizer).select("organizer_id", "place", "id", "recipient_group", "subject", "created_at")
 
 
-def conferences_of(created: DataFrame, schema: str, organizer: str | None = None) -> DataFrame:
-    """Conference documents decoded by their schema, newest first per organizer; malformed ones have null fields."""
-    rows = newest_first(created, "organizer_id", "created_at", "id", organizer)
-    return rows.select("organizer_id", "place", "id", F.from_json("data", schema).alias("c")).select("organizer_id", "place", "id", "c.*")
+def conference_documents(created: DataFrame) -> DataFrame:
+    """created with document: data as VARIANT, so that documents need no common schema; null where data isn't JSON."""
+    return created.withColumn("document", F.try_parse_json("data"))
+
+
+def conferences_of(created: DataFrame, organizer: str | None = None) -> DataFrame:
+    """The conferences that one organizer made, or each one's, newest first: organizer_id, place, id, created_at, document."""
+    rows = newest_first(conference_documents(created), "organizer_id", "created_at", "id", organizer)
+    return rows.select("organizer_id", "place", "id", "created_at", "document")
+
+
+def all_conferences(created: DataFrame) -> DataFrame:
+    """The conferences of everybody, newest first: organizer_id, id, created_at, document. Sorted by ranges of time, not numbered."""
+    rows = conference_documents(created).select("organizer_id", "id", "created_at", "document")
+    return rows.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
+
+
+def conference_fields(documents: DataFrame, **paths: str) -> DataFrame:
+    """documents with a column for each path ('$.a.b[0] type') into document; null where the path is missing or holds something else."""
+    split = {name: p.rsplit(" ", 1) for name, p in paths.items()}
+    return documents.withColumns({name: F.try_variant_get("document", path, kind) for name, (path, kind) in split.items()})
+
+
+def new_conferences(asked: DataFrame) -> DataFrame:
+    """asked (organizer_id, data: JSON text) with id, and reason: 'conference' where data isn't a JSON object with a non-empty id and a title, null for what can be stored."""
+    rows = asked.withColumn("_v", F.try_parse_json("data"))
+    text = lambda p: F.when(F.schema_of_variant(F.try_variant_get("_v", p, "variant")) == "STRING", F.try_variant_get("_v", p, "string"))
+    rows = rows.withColumn("id", text("$.id"))
+    good = (F.col("id") != "") & (strip(text("$.title")) != "")
+    return rows.withColumn("reason", F.when(~F.coalesce(good, F.lit(False)), "conference")).drop("_v")
 
 
 def with_feedback(feedback: DataFrame, new: DataFrame) -> DataFrame:
@@ -182,9 +214,9 @@ def reviewed_titles(reviews: DataFrame, submissions: DataFrame) -> DataFrame:
     return reviews.select("reviewer_id", "submission_id").join(title, "submission_id").groupBy("reviewer_id").agg(F.count_distinct("conference_title").alias("conferences"))
 
 
-def agenda_places(items: DataFrame, day: str, *order: str) -> DataFrame:
-    """Program items by day, then the given columns, with place in the whole day."""
-    return placed(items, [day], *(F.col(c) for c in order))
+def agenda_places(items: DataFrame, day: str, time: str, *order: str) -> DataFrame:
+    """Program items by day, then time as text in the order of the locale, then the given columns, with place in the whole day."""
+    return placed(items, [day], by_locale(F.col(time)), *(F.col(c) for c in order))
 
 
 def removed_at(items: Column, place: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.text import price_range
+from plenum.operators.ordering import by_locale
 
 ALL = "All"
 # What the price filter spans where nothing is known.
@@ -81,8 +82,8 @@ def search(conferences: DataFrame, s: Search) -> DataFrame:
 
 
 def industries(conferences: DataFrame) -> DataFrame:
-    """The industries on offer, in order."""
-    return conferences.filter("industry <> ''").select("industry").distinct().orderBy("industry")
+    """The industries on offer, in the order of the locale."""
+    return conferences.filter("industry <> ''").select("industry").distinct().orderBy(by_locale(F.col("industry")))
 
 
 def price_bounds(conferences: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ def _seen_by(conversations: DataFrame) -> DataFrame:
     """Each conversation once for either party: me, partner_id."""
     me = F.explode(F.array("user_a", "user_b"))
     rows = conversations.withColumn("me", me)
-    return rows.select(F.col("id").alias("conversation_id"), "me", other_party(F.col("me"), F.col("user_a"), F.col("user_b")).alias("partner_id"))
+    return rows.select(F.col("id").alias("conversation_id"), F.col("created_at").alias("begun_at"), "me", other_party(F.col("me"), F.col("user_a"), F.col("user_b")).alias("partner_id"))
 
 
 def conversations_of(conversations: DataFrame, messages: DataFrame, users: DataFrame, me: str | None = None) -> DataFrame:
-    """The conversations of a user, or of each, with partner, last message and unread count, the latest first (those without messages last).
+    """The conversations of a user, or of each, with partner, last message and unread count, the latest first; without a message the time of the conversation itself counts.
 
     Messages are reduced to one row per conversation, and to unread counts per
     sender, before they meet the conversations; partners that don't exist drop out.
@@ -35,7 +35,7 @@ def conversations_of(conversations: DataFrame, messages: DataFrame, users: DataF
     unread = messages.filter("read_at IS NULL").groupBy("conversation_id", F.col("sender_id").alias("partner_id")).agg(F.count(F.lit(1)).alias("unread"))
     partner = summaries(users).select(F.col("id").alias("partner_id"), F.col("name").alias("partner"), F.col("organization").alias("partner_org"))
     rows = seen.join(partner, "partner_id").join(last, "conversation_id", "left").join(unread, ["conversation_id", "partner_id"], "left")
-    rows = rows.select("me", "conversation_id", "partner_id", "partner", "partner_org", F.col("last.text").alias("last_message"), F.col("last.created_at").alias("last_time"), F.coalesce("unread", F.lit(0)).alias("unread"))
+    rows = rows.select("me", "conversation_id", "partner_id", "partner", "partner_org", F.col("last.text").alias("last_message"), F.coalesce("last.created_at", "begun_at").alias("last_time"), F.coalesce("unread", F.lit(0)).alias("unread"))
     return newest_first(rows, "me", "last_time", "conversation_id")
 
 
@@ -80,8 +80,10 @@ def pushed(sent: DataFrame, conversations: DataFrame, users: DataFrame) -> DataF
 
 
 def people_search(users: DataFrame, query: str, me: str, most: int = 10) -> DataFrame:
-    """Other users whose name holds the query (a pattern as LIKE has it, in any case), the first by name."""
-    return summaries(users).filter(F.col("name").ilike(f"%{query}%") & (F.col("id") != me)).orderBy("name", "id").limit(most)
+    """Other users whose name holds the stripped query (a pattern as LIKE has it, in any case), the first by name; nobody for an empty query."""
+    query = query.strip()
+    found = F.col("name").ilike(f"%{query}%") & (F.col("id") != me) if query else F.lit(False)
+    return summaries(users).filter(found).orderBy("name", "id").limit(most)
 
 
 def notifications(listed: DataFrame, actions: DataFrame) -> DataFrame:

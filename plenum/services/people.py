@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.text import strip
-from plenum.operators.tables import patched, updated
+from plenum.operators.tables import updated
 
 # The shape of an address, the roles, the least length of a password, and the fields that a user may change.
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 ROLES = ("professional", "organizer", "sponsor")
 PASSWORD_LEAST = 8
-EDITABLE = ("name", "organization", "title", "department", "city", "country", "bio")
+EDITABLE = ("name", "title", "organization", "department", "city", "country", "bio")
+# ... and the most characters of a bio and of an avatar.
+BIO_MOST, AVATAR_MOST = 600, 2_000_000
 
 
 def public(users: DataFrame) -> DataFrame:
-    """Users without secrets; empty texts for missing ones, and a flag for accounts that sign in elsewhere."""
-    shown = ("organization", "title", "avatar", "department", "city", "country", "bio")
-    return users.select("id", "email", "role", "name", *(F.coalesce(c, F.lit("")).alias(c) for c in shown), F.col("reviewer_available").cast("boolean").alias("reviewer_available"), F.col("google_id").isNotNull().alias("external"))
+    """Users without secrets; missing texts stay null, a missing flag is false."""
+    flag = F.coalesce(F.col("reviewer_available").cast("boolean"), F.lit(False)).alias("reviewer_available")
+    return users.select("id", "email", "role", "name", "organization", "title", "department", "city", "country", "bio", "avatar", flag)
 
 
 def checked(asked: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -44,13 +46,25 @@ def number_between(text: Column, low: float, high: float, whole: bool = False) -
     return F.when(fits & (x == F.floor(x)) if whole else fits, x)
 
 
+def profile_faults(changes: DataFrame) -> DataFrame:
+    """changes (id, fields: a map from column to text or null) with fields reduced to the editable ones, stripped, empty ones null, and reason: the first fault, null for none."""
+    known = F.map_filter("fields", lambda k, _: k.isin(list(EDITABLE)))
+    clean = F.transform_values(known, lambda _, v: F.nullif(strip(v), F.lit("")))
+    rows = changes.withColumn("fields", clean)
+    given = lambda c: F.map_contains_key("fields", c)
+    reason = F.when(F.coalesce(F.size("fields"), F.lit(0)) <= 0, "nothing to change").when(given("name") & F.col("fields")["name"].isNull(), "name").when(F.length(F.col("fields")["bio"]) > BIO_MOST, "bio")
+    return rows.withColumn("reason", reason)
+
+
 def profile_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """users with the editable fields that changes (id, ...) hold and that aren't null there, stripped; a name can't become empty."""
-    fields = [c for c in EDITABLE if c in changes.columns]
-    clean = changes.select("id", *(strip(F.col(c)).alias(c) for c in fields))
-    if "name" in fields:
-        clean = clean.withColumn("name", F.nullif("name", F.lit("")))
-    return patched(users, clean, "id", fields)
+    """users after changes (id once each, fields: a map from column to new text): a field that is there replaces the old value, null or empty clears it, one that isn't there stays.
+
+    A request with a fault (profile_faults) changes nothing.
+    """
+    good = profile_faults(changes).filter("reason IS NULL").select("id", F.col("fields").alias("_new"))
+    rows = users.join(good, "id", "left")
+    new = {c: F.when(F.map_contains_key("_new", c), F.col("_new")[c]).otherwise(F.col(c)) for c in EDITABLE if c in users.columns}
+    return rows.withColumns(new).select(users.columns)
 
 
 def availability(users: DataFrame, who: str, flag: bool) -> DataFrame:
@@ -58,5 +72,5 @@ def availability(users: DataFrame, who: str, flag: bool) -> DataFrame:
 
 
 def allowed_avatar(url: Column) -> Column:
-    """Whether an avatar is an image given in place."""
-    return F.coalesce(F.startswith(url, F.lit("data:image/")), F.lit(False))
+    """Whether an avatar is an image given in place and not too long; null takes the avatar away and is allowed."""
+    return url.isNull() | (F.startswith(url, F.lit("data:image/")) & (F.length(url) <= AVATAR_MOST))

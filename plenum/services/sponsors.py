@@ -35,32 +35,35 @@ def history(applications: DataFrame, packages: DataFrame, now: Column) -> DataFr
     return rows.select("sponsor_id", "title", "tier", F.year(F.coalesce("decided_at", now)).alias("year"), "place")
 
 
-def statistics(applications: DataFrame, packages: DataFrame, reviews: DataFrame, now: Column, sponsors: DataFrame | None = None) -> DataFrame:
-    """sponsor_id, rating, reviews, approved, history: over all organizers, for the sponsors in the given frame (sponsor_id) or all.
+def statistics(applications: DataFrame, reviews: DataFrame, sponsors: DataFrame | None = None) -> DataFrame:
+    """sponsor_id, rating, reviews, approved: over all organizers, for the sponsors in the given frame (sponsor_id) or all.
 
-    Sponsors are cut by semi join before anything is aggregated. The history of one sponsor is the list that the profile shows.
+    Sponsors are cut by semi join before anything is aggregated. Approved applications count whether or not their package is there.
+    What they were for is history(), one row each: a sponsor's list isn't copied to where the numbers are needed.
     """
     if sponsors is not None:
         ids = sponsors.select("sponsor_id").distinct()
         applications, reviews = (t.join(ids, "sponsor_id", "left_semi") for t in (applications, reviews))
     rated = reviews.groupBy("sponsor_id").agg(F.avg("rating").alias("rating"), F.count(F.lit(1)).alias("reviews"))
-    past = history(applications, packages, now).groupBy("sponsor_id").agg(F.count(F.lit(1)).alias("approved"), F.array_sort(F.collect_list(F.struct("place", "title", "tier", "year"))).alias("history"))
-    both = rated.join(past, "sponsor_id", "full")
-    empty = F.array().cast("array<struct<place:bigint,title:string,tier:string,year:int>>")
-    return both.select("sponsor_id", F.coalesce("rating", F.lit(0.0)).alias("rating"), F.coalesce("reviews", F.lit(0)).alias("reviews"), F.coalesce("approved", F.lit(0)).alias("approved"), F.coalesce("history", empty).alias("history"))
+    active = applications.filter("status = 'Approved'").groupBy("sponsor_id").agg(F.count(F.lit(1)).alias("approved"))
+    both = rated.join(active, "sponsor_id", "full")
+    return both.select("sponsor_id", F.coalesce("rating", F.lit(0.0)).alias("rating"), F.coalesce("reviews", F.lit(0)).alias("reviews"), F.coalesce("approved", F.lit(0)).alias("approved"))
 
 
 def company(users: DataFrame) -> DataFrame:
     return users.select(F.col("id").alias("sponsor_id"), blank_or(F.col("organization"), blank_or(F.col("name"), F.lit(UNKNOWN))).alias("company"))
 
 
-def applicants(applications: DataFrame, packages: DataFrame, users: DataFrame, reviews: DataFrame, now: Column, organizer: str | None = None) -> DataFrame:
-    """Applications to an organizer's packages, or each one's, newest first, with the sponsors' companies and statistics; unknown sponsors stay."""
+def applicants(applications: DataFrame, packages: DataFrame, users: DataFrame, reviews: DataFrame, organizer: str | None = None) -> DataFrame:
+    """Applications to an organizer's packages, or each one's, newest first, with the sponsors' companies and statistics; unknown sponsors stay.
+
+    sponsor_id refers to the sponsor's history(): that list is there once, not with each of its applications.
+    """
     p = packages.select(F.col("id").alias("package_id"), "organizer_id", "tier", "conference_title")
     if organizer is not None:
         p = p.filter(F.col("organizer_id") == organizer)
     rows = applications.join(p, "package_id")
-    stats = statistics(applications, packages, reviews, now, rows if organizer is not None else None)
+    stats = statistics(applications, reviews, rows if organizer is not None else None)
     rows = rows.join(stats, "sponsor_id", "left").join(company(users), "sponsor_id", "left")
     zero = {"rating": 0.0, "reviews": 0, "approved": 0}
     rows = rows.fillna(zero).withColumn("company", F.coalesce("company", F.lit(UNKNOWN)))
@@ -74,10 +77,11 @@ def reviewable(applications: DataFrame, packages: DataFrame, users: DataFrame) -
     return ids.join(company(users), "sponsor_id", "left").withColumn("company", F.coalesce("company", F.lit(UNKNOWN)))
 
 
-def may_review(organizer: str, sponsor: str, applications: DataFrame, packages: DataFrame) -> bool:
-    """Whether an organizer has approved a sponsor: one row decides."""
-    own = packages.filter(F.col("organizer_id") == organizer).select(F.col("id").alias("package_id"))
-    return not applications.filter((F.col("sponsor_id") == sponsor) & (F.col("status") == "Approved")).join(own, "package_id", "left_semi").limit(1).isEmpty()
+def may_review(asked: DataFrame, applications: DataFrame, packages: DataFrame) -> DataFrame:
+    """asked (organizer_id, sponsor_id) with allowed: whether the organizer has approved the sponsor. One semi join for all pairs."""
+    p = packages.select(F.col("id").alias("package_id"), "organizer_id")
+    approved = applications.filter("status = 'Approved'").join(p, "package_id").select("organizer_id", "sponsor_id").distinct().withColumn("allowed", F.lit(True))
+    return asked.join(approved, ["organizer_id", "sponsor_id"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 def reviews_of(reviews: DataFrame, users: DataFrame) -> DataFrame:

@@ -73,10 +73,14 @@ def test_sponsors(spark):
     applications = spark.createDataFrame([("1", "p", "s", "Approved", at(1), None), ("2", "p", "t", "Pending", at(2), None), ("3", "p", "s", "Approved", at(1), at(3))], "id string, package_id string, sponsor_id string, status string, created_at timestamp, decided_at timestamp")
     users = spark.createDataFrame([("s", "", "Name")], "id string, organization string, name string")
     reviews = spark.createDataFrame([], "sponsor_id string, rating long")
-    found = sponsors.applicants(applications, packages, users, reviews, F.expr("TIMESTAMP '2030-01-01'"), "org").orderBy("place").collect()
+    found = sponsors.applicants(applications, packages, users, reviews, "org").orderBy("place").collect()
     assert [(r.id, r.company, r.rating, r.approved) for r in found] == [("2", "Unknown Sponsor", 0.0, 0), ("3", "Name", 0.0, 2), ("1", "Name", 0.0, 2)]
-    assert [h.year for h in found[1].history] == [2025, 2030]
-    assert sponsors.may_review("org", "s", applications, packages) and not sponsors.may_review("org", "t", applications, packages)
+    past = sponsors.history(applications, packages, F.expr("TIMESTAMP '2030-01-01'")).filter(F.col("sponsor_id") == found[1].sponsor_id).orderBy("place").collect()
+    assert [h.year for h in past] == [2025, 2030]
+    lost = applications.unionByName(applications.limit(1).withColumn("package_id", F.lit("gone")))
+    assert [r.approved for r in sponsors.statistics(lost, reviews).filter("sponsor_id = 's'").collect()] == [3]  # whether or not the package is there
+    asked = spark.createDataFrame([("org", "s"), ("org", "t"), ("no", "s")], "organizer_id string, sponsor_id string")
+    assert {(r.organizer_id, r.sponsor_id): r.allowed for r in sponsors.may_review(asked, applications, packages).collect()} == {("org", "s"): True, ("org", "t"): False, ("no", "s"): False}
     decisions = spark.createDataFrame([("2", "other", "Approved"), ("1", "org", "Rejected"), ("3", "org", "Pending")], "id string, organizer_id string, status string")
     assert {r.id: r.status for r in sponsors.decided(applications, packages, decisions, F.expr("TIMESTAMP '2030-01-01'")).collect()} == {"1": "Rejected", "2": "Pending", "3": "Approved"}
     assert [tuple(r) for r in spark.range(1).select(sponsors.verified(F.lit(None).cast("int"), F.lit(None).cast("double")), sponsors.verified(F.lit(2), F.lit(2.9)), sponsors.verification_reason(F.lit(2), F.lit(2.96))).collect()] == [(True, False, "Rated 3.0, below the required 3.0")]
@@ -96,15 +100,16 @@ def test_sign_ups_and_updates(spark):
     asked = spark.createDataFrame([("a@b.c", "12345678", " N ", "sponsor"), ("a b@c.d", "12345678", "N", "sponsor"), (None, None, None, None), ("x@y.z", "12345678", "N", None)], "email string, password string, name string, role string")
     assert [r.reason for r in people.checked(asked).collect()] == [None, "email", "email", "role"]
     users = spark.createDataFrame([("1", "Old", "T"), ("2", "Keep", None)], "id string, name string, title string")
-    changes = spark.createDataFrame([("1", "  ", " New ")], "id string, name string, title string")
-    assert sorted(map(tuple, people.profile_updates(users, changes).collect())) == [("1", "Old", "New"), ("2", "Keep", None)]
+    changes = spark.createDataFrame([("1", {"title": " New ", "email": "x"}), ("2", {"name": " "}), ("3", {"bio": "b" * 601}), ("4", {"title": "", "bio": "b" * 600, "name": None}), ("5", {}), ("6", None), ("7", {"title": None})], "id string, fields map<string,string>")
+    assert [r.reason for r in people.profile_faults(changes).orderBy("id").collect()] == [None, "name", "bio", "name", "nothing to change", "nothing to change", None]
+    assert sorted(map(tuple, people.profile_updates(users.union(users.selectExpr("'7'", "name", "'T'").limit(1)), changes).collect())) == [("1", "Old", "New"), ("2", "Keep", None), ("7", "Old", None)]
     numbers = spark.createDataFrame([(x,) for x in ("5", "5.5", "NaN", "Infinity", "x", None, "1e3")], "t string")
     assert [r[0] for r in numbers.select(people.number_between(F.col("t"), 0, 100, whole=True)).collect()] == [5.0, None, None, None, None, None, None]
 
 
 def test_avatars(spark):
     urls = spark.createDataFrame([("data:image/png;base64,x",), ("https://x/y.png",), (None,)], "u string")
-    assert [r[0] for r in urls.select(people.allowed_avatar(F.col("u"))).collect()] == [True, False, False]
+    assert [r[0] for r in urls.select(people.allowed_avatar(F.col("u"))).collect()] == [True, False, True]
 
 
 def test_declared_tables(spark):
@@ -131,3 +136,46 @@ def test_posts(spark):
     t = spark.createDataFrame([(1, (1, None, 2, 3)), (2, None)], "id int, reactions struct<likes:int,celebrates:int,insightful:int,kudos:int>")
     assert [r[0] for r in t.select(posts.reactions()).collect()] == [6, 0]
     assert [r[0] for r in t.select(posts.counter_of(F.lit("other"))).collect()] == [None, None]
+
+
+def test_search_for_people(spark):
+    users = spark.createDataFrame([("1", "Ann"), ("2", "ann_b"), ("3", None), ("4", "Bo")], "id string, name string").selectExpr("*", "'' AS avatar", "'' AS title", "'' AS organization")
+    ids = lambda q: [r.id for r in messages.people_search(users, q, "4").collect()]
+    assert ids(" AN ") == ["1", "2"] and ids("  ") == [] and ids("") == [] and ids("n_b") == ["2"]
+
+
+def test_conference_documents(spark):
+    data = ['{"id":"a","title":"T","x":{"y":[1,{"z":2}]}}', '{"id":7,"title":"T"}', '{"id":"b","title":"  "}', "{", None, "[]", '"text"', '{"title":"T"}']
+    asked = spark.createDataFrame([(i, "o", d) for i, d in enumerate(data)], "n int, organizer_id string, data string")
+    assert [r.reason for r in activity.new_conferences(asked).orderBy("n").collect()] == [None] + ["conference"] * 7
+    found = activity.conference_fields(activity.conference_documents(asked), z="$.x.y[1].z int", title="$.title string", one="$.x.y[0] string").orderBy("n").collect()
+    assert [(r.z, r.title, r.one) for r in found[:2]] == [(2, "T", "1"), (None, "T", None)] and found[3].title is None and found[5].title is None
+
+
+def test_order_of_the_locale(spark):
+    from plenum.operators.ordering import by_locale
+
+    t = spark.createDataFrame([(x,) for x in ("Z", "é", "e", "É", "a", "B", "E", "10", "9")], "x string")
+    assert [r.x for r in t.orderBy(by_locale(F.col("x"))).collect()] == ["10", "9", "a", "B", "e", "E", "é", "É", "Z"]
+
+
+def test_postings(spark, tmp_path):
+    import time
+
+    from plenum.operators.trigrams import Postings, grams
+
+    texts = [(1, "The MIT License"), (2, "mit"), (3, None), (4, ""), (5, "permitted İ 50%_x"), (6, "😀ab😀"), (7, "aaaa")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    postings = Postings(spark, f"{tmp_path}/p", 4).build(docs, "id", "text")
+    for q in ("mit", "MIT ", "aaa", "aaaaa", "50%_", "😀ab", "ab😀", "nothing", "it", "", "the mit license"):
+        assert sorted(r.id for r in postings.search(docs, "id", "text", q).collect()) == sorted(i for i, t in texts if t is not None and q.lower() in t.lower()), q
+    plan = postings.candidates("mit")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(gram), EqualTo(gram,mit)]" in plan
+    took = []
+    for n in (50_000, 200_000):
+        long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")), "").alias("t")).persist()
+        long.count()
+        began = time.perf_counter()
+        assert long.select(F.size(grams(F.col("t")))).head()[0] == 1000
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 0.2)

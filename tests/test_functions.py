@@ -33,6 +33,8 @@ DAY = datetime.date
         (lambda: text.initials(L("ada")), "AD"),
         (lambda: text.initials(L(" ")), "?"),
         (lambda: text.xml_escaped(L("<a & 'b'>")), "&lt;a &amp; &apos;b&apos;&gt;"),
+        (lambda: text.hash31(L("\U0001f600")), 1772899),
+        (lambda: text.hash31(L("")), 0),
         (lambda: text.certificate_code(L("ab")), "0x" + f"{97 * 31 + 98:016x}"),
         (lambda: text.compact(L(999)), "999"),
         (lambda: text.compact(L(1000)), "1K"),
