@@ -27,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
@@ -89,11 +91,11 @@ def _blocks(text: Column, flat: Column, longest: int) -> Column:
 
     A window starts every ``longest`` words and is three times as long.
     """
-    lines = F.transform(F.split(text, "\n"), _flat)
-    paragraphs = F.transform(F.filter(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda p: p != ""), lambda p: F.split(F.trim(F.replace(p, F.lit("\n"), F.lit(" "))), " "))
-    words = F.split(flat, " ")
-    windows = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(longest)), lambda i: F.slice(words, i, 3 * longest))
-    return F.when(F.regexp_like(F.array_join(lines, "\n"), F.lit("[^\n]\n{2,}[^\n]")), F.concat(paragraphs, windows)).otherwise(paragraphs)
+    lines = F.array_join(F.transform(F.split(text, "\n"), _flat), "\n")
+    paragraphs = lambda joined: F.transform(F.filter(F.split(joined, "\n{2,}"), lambda p: p != ""), lambda p: F.split(F.trim(F.replace(p, F.lit("\n"), F.lit(" "))), " "))
+    windows = lambda words: F.transform(F.sequence(F.lit(1), F.size(words), F.lit(longest)), lambda i: F.slice(words, i, 3 * longest))
+    several = lambda joined: F.regexp_like(joined, F.lit("[^\n]\n{2,}[^\n]"))
+    return let(lines, lambda joined: F.when(several(joined), F.concat(paragraphs(joined), let(F.split(flat, " "), windows))).otherwise(paragraphs(joined)))
 
 
 def _similar(block: Column, words: list[str], need: int) -> Column:
@@ -132,10 +134,13 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
 
     def places(phrase: str, label: str) -> Column:
         want = phrase.split()
-        words = F.split("flat", " ")
-        stands = lambda i: F.slice(words, i + 1, len(want)) == F.array(*[F.lit(w) for w in want])
-        first = F.filter(F.transform(words, lambda w, i: F.when(w == want[0], i)), lambda i: i.isNotNull())
-        at = F.transform(F.filter(first, stands), lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
+
+        def starts(words: Column) -> Column:
+            stands = lambda i: reduce(lambda x, y: x & y, [F.get(words, i + k) == w for k, w in enumerate(want)])
+            first = F.filter(F.transform(words, lambda w, i: F.when(w == want[0], i)), lambda i: i.isNotNull())
+            return F.transform(F.filter(first, stands), lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
+
+        at = let(F.split("flat", " "), starts)  # the words are split once, however often the first one occurs
         return F.when(F.contains(padded, F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
 
     # Blocks that hold a prefix word of any template, as arrays of distinct words.

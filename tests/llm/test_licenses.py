@@ -90,3 +90,18 @@ def test_against_plain_python(spark):
                 if score[k] and all((score[k], len(s)) >= r for r in rivals):
                     want.add((label, score[k]))
         assert {tuple(x) for x in found[i].found} == want
+
+
+def test_twice_the_text_takes_twice_the_time(spark):
+    """Paragraphs, many first words of a phrase, and phrases that do stand there."""
+    import time
+
+    took = []
+    for n in (32_000, 64_000, 128_000):
+        text = " ".join(("under the mit license" if i % 500 == 0 else f"under w{i % 977}") + ("\n\n" if i % 40 == 0 else "") for i in range(n // 2))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        (row,) = licenses.digest(docs).collect()
+        took.append(time.perf_counter() - began)
+        assert row.n_base == -(-(n // 2) // 500) and row.labels == "mit"
+    assert took[2] < 3 * max(took[1], 1)
