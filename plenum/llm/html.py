@@ -11,6 +11,10 @@ short headings and paragraphs beside the clusters belong to it. If it has no
 heading, and its parent has one right in it before, the parent takes its place.
 Inside of a region, groups of lines below the threshold go if they are mainly
 links: lists of links, and what the name of its element says isn't content.
+Inside of an article or main element a list of links stays if it belongs to the
+text: under a heading of its own that doesn't name such a thing, or between
+lines of prose. A form goes, unless it holds most of the page's text, as on
+pages that stand in one form as a whole.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE = frozenset("script style noscript template iframe object svg canvas nav aside footer form button select textarea dialog menu head title".split())
+BOILERPLATE = frozenset("script style noscript template iframe object svg canvas nav aside footer button select textarea dialog menu head title".split())
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Words of class and id names that stand for other things than content, and words that say nothing beside them.
 NAMES = frozenset("ad ads adsense advert adverts advertisement advertising advertorial breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion promoted related replies reply share sharing sidebar social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
@@ -46,6 +50,8 @@ SHIELDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": (
 SIGMA, THRESHOLD = 1.0, 0.5
 #: Share of a group's text in links from which it is mainly links, and the lines of a list of links.
 LINKS, LIST = 0.6, 3
+#: Share of a page's text from which a form is a container like others.
+FORM = 0.5
 
 
 @lru_cache(maxsize=4096)
@@ -69,16 +75,16 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, whether it or one around it is left out, region, container, group
+        self.open: list[tuple[str, bool, int, int, int, int]] = []  # tag, whether it or one around it is left out, region, container, group, form
         self.at: defaultdict[str, list[int]] = defaultdict(list)  # tag -> places in open
         self.text: list[str] = []
-        self.lines: list[tuple[str, int, int, int, int, int, bool]] = []  # text, tags, characters in links, region, container, group, whether a heading
+        self.lines: list[tuple[str, int, int, int, int, int, int, bool]] = []  # text, tags, characters in links, region, container, group, form, whether a heading
         self.around, self.over, self.odd = [0], [0], [False]  # container around each container; group around each group; whether a name tells against it
-        self.tags, self.linked, self.regions, self.headings = 0, 0, 0, 0
+        self.tags, self.linked, self.regions, self.forms, self.headings = 0, 0, 0, 0, 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            self.lines.append((text, self.tags, self.linked, *(self.open[-1][2:] if self.open else (0, 0, 0)), self.headings > 0))
+            self.lines.append((text, self.tags, self.linked, *(self.open[-1][2:] if self.open else (0, 0, 0, 0)), self.headings > 0))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -93,14 +99,17 @@ class _Lines(HTMLParser):
                 self.leave(ENDS[tag], SHIELDS[tag])
         if tag in VOID:
             return
-        _, skip, region, node, group = self.open[-1] if self.open else ("", False, 0, 0, 0)
+        _, skip, region, node, group, form = self.open[-1] if self.open else ("", False, 0, 0, 0, 0)
         told = 0
         if not skip:
             skip = tag in BOILERPLATE or tag == "header" and not region
             if not skip and tag not in ("html", "body"):
                 a = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
                 told = max(named(a.get("class", ""), region > 0), named(a.get("id", ""), region > 0)) if a else 0
-                skip = told == 2 or a.get("role", "").lower() in BOILERPLATE_ROLES
+                skip = told == 2 and tag != "p" or a.get("role", "").lower() in BOILERPLATE_ROLES
+        if tag == "form" and not form:
+            self.forms += 1
+            form = self.forms
         if tag in CONTAINER and not region:
             self.regions += 1
             region = self.regions
@@ -110,11 +119,11 @@ class _Lines(HTMLParser):
                 node = len(self.around) - 1
             if tag not in PARTS or tag in LISTS or told:
                 self.over.append(group)
-                self.odd.append(told == 1)
+                self.odd.append(told > 0)
                 group = len(self.over) - 1
         self.at[tag].append(len(self.open))
         self.headings += tag in HEADINGS
-        self.open.append((tag, skip, region, node, group))
+        self.open.append((tag, skip, region, node, group, form))
 
     def last(self, tags) -> int:
         return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
@@ -185,15 +194,35 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def _without_forms(lines: list[tuple]) -> list[tuple]:
+    """The lines outside of forms, and those of a form that holds most of the text."""
+    size: defaultdict[int, int] = defaultdict(int)
+    for line in lines:
+        size[line[6]] += len(line[0])
+    most = FORM * sum(size.values())
+    return [x for x in lines if not x[6] or size[x[6]] > most]
+
+
+def belongs(first: int, last: int, region: list[int], heading: list[bool], prose: list[bool], text: list[str]) -> bool:
+    """Whether the list of links in the lines first to last is a part of the article or main element that it is in."""
+    own = region[first]
+    before = first - 1
+    if own and before > 0 and region[before] == own and heading[before]:
+        words = re.findall(r"[a-z]+", text[before].lower())
+        return region[before - 1] == own and not (len(words) <= 3 and any(w in NAMES for w in words))
+    return bool(own) and any(p and r == own for p, r in zip(prose[:first], region, strict=False)) and any(p and r == own for p, r in zip(prose[last + 1 :], region[last + 1 :], strict=True))
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page, blocks joined by an empty line; empty for null, and if there is none."""
     parser = _Lines()
     parser.feed(page or "")
     parser.close()
     parser.flush()
-    if not parser.lines:
+    lines = _without_forms(parser.lines)
+    if not lines:
         return ""
-    text, tags, linked, region, container, group, heading = map(list, zip(*parser.lines, strict=True))
+    text, tags, linked, region, container, group, _, heading = map(list, zip(*lines, strict=True))
     smooth = smoothed(np.array([len(t) / (1 + n) for t, n in zip(text, tags, strict=True)]))
     least = THRESHOLD * smooth.mean()
     seeds = np.flatnonzero(smooth >= least).tolist()
@@ -205,12 +234,25 @@ def main_text(page: str | None) -> str:
         chosen = [c in nodes for c in container]
     # Groups below the threshold that are mainly links.
     over = parser.over
-    count, size, links, ratio = (_totals(over, group, v) for v in ([1] * len(text), [len("".join(t.split())) for t in text], linked, smooth.tolist()))
+    letters = [len("".join(t.split())) for t in text]
+    count, size, links, ratio = (_totals(over, group, v) for v in ([1] * len(text), letters, linked, smooth.tolist()))
+    prose = [not h and k < LINKS * n for h, k, n in zip(heading, linked, letters, strict=True)]
+    start, end = [len(text)] * len(over), [-1] * len(over)  # a group's lines, and those of the groups in it
+    for i, g in enumerate(group):
+        start[g], end[g] = min(start[g], i), i
+    for g in range(len(over) - 1, 0, -1):
+        start[over[g]], end[over[g]] = min(start[over[g]], start[g]), max(end[over[g]], end[g])
     gone = [False] * len(over)
+    titles = set()
     for g in range(1, len(over)):
         mainly_links = count[g] > 0 and links[g] >= LINKS * size[g] and ratio[g] < least * count[g]
-        gone[g] = gone[over[g]] or mainly_links and (parser.odd[g] or count[g] >= LIST)
-    return "\n\n".join(t for t, c, g in zip(text, chosen, group, strict=True) if c and not gone[g])
+        gone[g] = gone[over[g]]
+        if mainly_links and not gone[g] and (parser.odd[g] or count[g] >= LIST):
+            first, last = start[g], end[g]
+            gone[g] = parser.odd[g] or not belongs(first, last, region, heading, prose, text)
+            if gone[g] and first > 1 and heading[first - 1] and region[first] and region[first - 2] == region[first - 1] == region[first]:
+                titles.add(first - 1)  # the heading of what goes
+    return "\n\n".join(t for i, (t, c, g) in enumerate(zip(text, chosen, group, strict=True)) if c and not gone[g] and i not in titles)
 
 
 def _texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
