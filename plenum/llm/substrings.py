@@ -47,6 +47,8 @@ def anchors(raw: bytes) -> tuple[np.ndarray, ...] | None:
     n = len(raw)
     if n < WIDTH:
         return None
+    if n > _POS:
+        raise ValueError("a text of 256 MB or more has to be split")
     t = _BYTE[np.frombuffer(raw, np.uint8)]
     h, w = t, 1
     for m in _MUL:
@@ -166,10 +168,13 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["h", "u", "v", "rk", "s", "single"])
 
 
-def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _removed(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, all_repeats in pairs:
         rows = []
-        for doc_id, text, repeats in zip(batch["doc_id"], batch["text"], batch["repeats"]):
+        for text, repeats in zip(texts, all_repeats, strict=True):
             raw = (text or "").encode()
             edge = np.zeros(len(raw) + 1, np.int64)
             for r in repeats if repeats is not None else ():
@@ -178,9 +183,8 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gone = np.cumsum(edge)[:-1] > 0
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((doc_id, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeats(docs: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -209,13 +213,13 @@ def repeats(docs: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per row of docs.
+    """doc_id (of any type), n_bytes, n_removed, n_spans, kept_sha256, one row per row of docs.
 
-    Null counts as empty; texts below WIDTH bytes keep all. Rows that repeat
+    Null counts as empty; texts below WIDTH bytes keep all; one of 2**28 bytes or more raises an error. Rows that repeat
     doc_id and text are copies of each other like any others. Other columns are
     not read.
     """
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.struct("doc_id", "text").alias("doc"))
     gone = repeats(docs, keyed).groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("repeats"))
-    rows = keyed.join(gone, "rk", "left").select("doc.doc_id", "doc.text", "repeats")
-    return rows.mapInPandas(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = keyed.join(gone, "rk", "left").select("doc.doc_id", F.pandas_udf(_removed, REMOVED)("doc.text", "repeats").alias("r"))
+    return rows.select("doc_id", "r.*")

@@ -53,3 +53,11 @@ def test_very_long_texts(spark):
     rows = [(1, long), (2, long[1000:1300]), (3, long[:199]), (3, long[:199])]
     found = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: (300, 1), 2: (300, 1), 3: (0, 0)}
+
+
+def test_ids_of_any_type(spark):
+    """Text and null ids, with repeats; the same as with numbers."""
+    text = " ".join(f"word{i}" for i in range(90))
+    rows = [("a", text), ("b", "x" + text), (None, text[100:]), ("a", None), ("c", "short")]
+    found = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in substrings.remove(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == {("a", len(text)): (len(text), 1), ("b", len(text) + 1): (len(text), 1), (None, len(text) - 100): (len(text) - 100, 1), ("a", 0): (0, 0), ("c", 5): (0, 0)}
