@@ -28,7 +28,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "unread_per_conversation": "SELECT user_id, count(*) FILTER (WHERE event_type <> 'view' AND nullif(event_type, 'click') IS NULL) AS unread FROM {events} GROUP BY user_id",
     "unread_total": "SELECT count(*) AS unread FROM {events} JOIN {customer} ON c_custkey = user_id WHERE event_type <> 'view' AND nullif(event_type, 'click') IS NULL",
     "latest_message_per_thread": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {conversations}) t WHERE r = 1",
-    "conversation_list": "WITH m AS (SELECT least(user_id, 50) AS a, greatest(user_id, 50) AS b, event_id, ts, event_type FROM {events} WHERE user_id <> 50), c AS (SELECT CASE WHEN a = 50 THEN b ELSE a END AS partner_id, max(ts) AS last_time, max_by(event_type, event_id) AS last_text, count(*) FILTER (WHERE event_type = 'click') AS unread FROM m GROUP BY a, b) SELECT partner_id, c_name AS partner, last_time, last_text, unread FROM c JOIN (SELECT * FROM {customer} WHERE c_nationkey <> 3) u ON c_custkey = partner_id",
+    "conversation_list": "WITH m AS (SELECT least(user_id * 12, 600) AS a, greatest(user_id * 12, 600) AS b, event_id, ts, event_type FROM {events} WHERE user_id <> 50), c AS (SELECT CASE WHEN a = 600 THEN b ELSE a END AS partner_id, max(ts) AS last_time, max_by(event_type, event_id) AS last_text, count(*) FILTER (WHERE event_type = 'click') AS unread FROM m GROUP BY a, b) SELECT partner_id, c_name AS partner, last_time, last_text, unread FROM c JOIN {customer} ON c_custkey = partner_id",
     "distinct_reviewable_sponsors": "SELECT DISTINCT l_suppkey AS sponsor_id, s_name AS company FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE p_brand = 'Brand#11' AND l_returnflag = 'A'",
     "eligible_exists": "SELECT s_suppkey FROM {supplier} LEFT SEMI JOIN (SELECT l_suppkey FROM {lineitem} WHERE l_returnflag = 'A' AND l_quantity > 49) e ON l_suppkey = s_suppkey",
     "activity_feed": "SELECT concat('cia_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS id, 'interest' AS kind, s_name AS actor, l_shipdate AS at FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_size = 7) UNION ALL SELECT concat('sub_', CAST(o_orderkey AS STRING)), 'abstract_submission', c_name, o_orderdate FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE o_orderpriority LIKE '1%'",
@@ -67,7 +67,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "reviews_by_conference": "SELECT l_partkey AS conference_id, count(*) AS n, max(l_shipdate) AS last_review FROM {lineitem} GROUP BY l_partkey",
     "certificates_union": "SELECT concat('att_', CAST(o_orderkey AS STRING)) AS id, 'attendance' AS kind, o_orderdate AS at FROM {orders} WHERE o_orderstatus = 'F' UNION ALL SELECT concat('pre_', CAST(o_orderkey AS STRING)), 'presentation', o_orderdate FROM {orders} WHERE o_orderstatus = 'P' UNION ALL SELECT concat('rev_', CAST(l_suppkey AS STRING)), concat(CAST(count(*) AS STRING), ' review', CASE WHEN count(*) = 1 THEN '' ELSE 's' END), max(l_shipdate) FROM {lineitem} GROUP BY l_suppkey",
     "committee_entries_dedup": "SELECT title, year, src FROM (SELECT *, row_number() OVER (PARTITION BY title, year ORDER BY src, id) AS r FROM (SELECT p_name AS title, p_size AS year, 1 AS src, p_partkey AS id FROM {part} WHERE p_brand IN ('Brand#11', 'Brand#12') UNION ALL SELECT p_name, p_size, 2, p_partkey FROM {part} WHERE lower(p_type) LIKE '%promo%') u) v WHERE r = 1",
-    "attended_conferences": "SELECT l_orderkey AS registration, l_linenumber AS line, coalesce(nullif(p_name, ''), 'Unknown') AS title, CAST(l_shipdate AS DATE) AS day FROM {lineitem} LEFT JOIN (SELECT * FROM {part} WHERE p_size > 25) p ON p_partkey = l_partkey",
+    "attended_conferences": "SELECT l_orderkey AS registration, l_linenumber AS line, coalesce(nullif(p_name, ''), 'Unknown') AS title, CAST(l_shipdate AS DATE) AS day FROM {lineitem} LEFT JOIN {part} ON p_partkey = l_partkey + 100",
     "suggested_packages": "SELECT p_partkey AS id, greatest(35, least(99, CAST(floor(80.0 * (CASE WHEN contains(lower(p_name), 'a') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_type), 'a') THEN 1 ELSE 0 END) / 2 + 20.0 * p_size / 50 + 0.5) AS BIGINT))) AS score FROM {part}",
     "sponsor_verification": "SELECT s_suppkey AS id, CASE WHEN n = 0 THEN 'new' WHEN rating >= 25.0 THEN 'verified' ELSE 'unverified' END AS status FROM (SELECT s_suppkey, count(l_suppkey) AS n, avg(l_quantity) AS rating FROM {supplier} LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY s_suppkey) s",
     "sponsor_history_span": "SELECT l_suppkey AS sponsor_id, CAST(coalesce(max(year(l_shipdate)) - min(year(l_shipdate)) + 1, 0) AS BIGINT) AS years FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_suppkey",

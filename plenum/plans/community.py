@@ -492,10 +492,11 @@ def search_topics(t: Tables) -> DataFrame:
     return discovery.search(t.listed_conferences.withColumns({"title": F.lit(None).cast("string"), "description": F.lit("")}), discovery.Search("#1")).select("id")
 
 
-@query("SELECT * FROM (VALUES (0, 0), (1, 9), (2, 2)) v(id, active)")
+@query("SELECT p_partkey AS id, CAST(p_size % 2 = 0 AS INT) + CAST(p_size % 3 = 0 AS INT) + CAST(p_size % 5 = 0 AS INT) + CAST(p_size % 7 = 0 AS INT) + CAST(p_size > 20 AS INT) + CAST(p_size % 4 = 1 OR p_size % 6 = 1 AS INT) + CAST(p_size % 11 = 0 AS INT) AS active FROM part")
 def active_facets(t: Tables) -> DataFrame:
-    searches = [discovery.Search("x"), discovery.Search("", "a", "b", "c", ("d",), date(2026, 1, 1), date(2026, 1, 2), 1, 2, True, True), discovery.Search(price_most=5, city_map=True)]
-    return t.spark.createDataFrame([(i, s.active()) for i, s in enumerate(searches)], "id int, active int")
+    """How many facets each of many saved searches uses."""
+    searches = t.raw("part").selectExpr("p_partkey AS id", "p_name AS keyword", "if(p_size % 2 = 0, p_brand, 'All') AS industry", "if(p_size % 3 = 0, 'Open', NULL) AS cfp_status", "if(p_size % 5 = 0, p_type, '') AS location", "if(p_size % 7 = 0, array('Online'), array()) AS formats", "if(p_size > 20, DATE '2026-01-01', NULL) AS since", "if(p_size % 4 = 1, 10, NULL) AS price_least", "if(p_size % 6 = 1, 99, NULL) AS price_most", "p_size % 11 = 0 AS brochure")
+    return searches.select("id", discovery.active_facets(searches).alias("active"))
 
 
 @query(
@@ -518,11 +519,12 @@ def parsed_prices(t: Tables) -> DataFrame:
     return t.listed_conferences.select("id", p["low"].alias("low"), p["high"].alias("high"))
 
 
-@query("SELECT query, place, title, snippet FROM (SELECT p_brand AS query, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS place, p_name AS title, '' AS snippet FROM part) x WHERE place < 10")
+@query("SELECT query, place, title, snippet FROM (SELECT 'q' || p_partkey // 15 AS query, row_number() OVER (PARTITION BY p_partkey // 15 ORDER BY p_partkey) - 1 AS place, p_name AS title, '' AS snippet FROM part) x WHERE place < 10")
 def web_search_results(t: Tables) -> DataFrame:
+    """The first ten of the 15 items of each answer; what isn't an answer is left out."""
     item = F.struct("p_partkey", F.struct(F.col("p_name").alias("title"), F.lit("https://x").alias("link")).alias("item"))
     items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])
-    answers = t.raw("part").groupBy(F.col("p_brand").alias("query")).agg(items.alias("items")).select(F.to_json(F.struct("query", "items")).alias("value"))
+    answers = t.raw("part").groupBy(F.concat(F.lit("q"), F.expr("p_partkey div 15").cast("string")).alias("query")).agg(items.alias("items")).select(F.to_json(F.struct("query", "items")).alias("value"))
     return discovery.web_results(answers.unionByName(t.spark.createDataFrame([("not JSON",), ('{"query":"q"}',)], "value string"))).select("query", "place", "title", "snippet")
 
 
@@ -593,7 +595,7 @@ def lookup_or_first(t: Tables) -> DataFrame:
 def recommended_and_others(t: Tables) -> DataFrame:
     high, low = ordering.split_by(t.raw("supplier"), F.col("s_acctbal") >= 5000)
     both = high.withColumn("high", F.lit(True)).unionByName(low.withColumn("high", F.lit(False)))
-    return ordering.placed(both, ["high"], F.col("s_acctbal").desc(), F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), "high", "place")
+    return ordering.placed_in_runs(both, ["high"], F.col("s_acctbal").desc(), F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), "high", "place")
 
 
 @query("SELECT s_name AS name, 'roster' AS origin FROM supplier UNION ALL SELECT c_name, 'invited' FROM customer WHERE c_nationkey = 1")
@@ -738,27 +740,6 @@ def written_and_read(t: Tables) -> DataFrame:
     return read_json(t.spark, path, "id long, name string")
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES[name][0](Tables(spark, sf_dir))
-
-
-def queries() -> dict:
-    return {name: (lambda spark, sf_dir, name=name: run(name, spark, sf_dir)) for name in QUERIES}
-
-
-def oracles() -> dict[str, str]:
-    return {name: _merged(sql) for name, (_, sql) in QUERIES.items() if sql}
-
-
-def _merged(sql: str) -> str:
-    """SQL that has common table expressions of its own, with the stand-ins' before them."""
-    own = sql.lstrip()
-    if not own.startswith("WITH "):
-        return with_ctes(own)
-    head = with_ctes(own)
-    return head if head == own else head[: len(head) - len(own)].rstrip() + ", " + own.removeprefix("WITH ")
-
-
 # Hashes of UTF-16 units, and substring search with postings
 
 _UNITS = "list_reduce(list_prepend(CAST(0 AS BIGINT), flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [CAST(unicode(c) AS BIGINT)] ELSE [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] END))), lambda a, x: (a * 31 + x) & 4294967295)"
@@ -784,3 +765,32 @@ def documents_with_text(t: Tables) -> DataFrame:
     postings = trigrams.Postings(t.spark, work_folder(t.spark)).build(docs, "doc_id", "text")
     found = [postings.search(docs, "doc_id", "text", q).select(F.lit(q).alias("query"), "doc_id") for q in SEARCHED]
     return tables.union_all(*found)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, count(*) AS different, count(*) AS with_prefix FROM orders GROUP BY o_orderstatus")
+def ids_assigned(t: Tables) -> DataFrame:
+    """Random ids for the rows of a table, written before they are used: as many different ones as rows."""
+    path = work_folder(t.spark)
+    t.raw("orders").select(F.col("o_orderstatus").alias("status"), text.new_id("msg_").alias("id")).write.parquet(path)
+    return t.spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("different"), F.count_if(F.col("id").startswith("msg_")).alias("with_prefix"))
+
+
+def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES[name][0](Tables(spark, sf_dir))
+
+
+def queries() -> dict:
+    return {name: (lambda spark, sf_dir, name=name: run(name, spark, sf_dir)) for name in QUERIES}
+
+
+def oracles() -> dict[str, str]:
+    return {name: _merged(sql) for name, (_, sql) in QUERIES.items() if sql}
+
+
+def _merged(sql: str) -> str:
+    """SQL that has common table expressions of its own, with the stand-ins' before them."""
+    own = sql.lstrip()
+    if not own.startswith("WITH "):
+        return with_ctes(own)
+    head = with_ctes(own)
+    return head if head == own else head[: len(head) - len(own)].rstrip() + ", " + own.removeprefix("WITH ")

@@ -22,10 +22,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return read(self.spark, self.folder, name)
 
+    # Sponsors 0 to 2 have applications but no account.
     @cached_property
     def users(self) -> DataFrame:
         people = self.raw("customer").selectExpr("concat('u', CAST(c_custkey AS STRING)) AS id", "concat(lower(c_name), '@mail.test') AS email", "'x' AS password_hash", "CASE WHEN c_nationkey = 3 THEN 'g' END AS google_id", "CASE WHEN c_nationkey < 5 THEN 'organizer' ELSE 'professional' END AS role", "c_name AS name", "nullif(c_mktsegment, 'BUILDING') AS organization", "CASE WHEN c_nationkey < 8 THEN 'Dr.' END AS title", "CAST(NULL AS STRING) AS avatar", "timestamp_seconds(1577836800 + c_custkey * 3600) AS created_at", "CASE WHEN c_nationkey > 2 THEN concat('n', CAST(c_nationkey AS STRING)) END AS country", "c_acctbal > 5000 AS reviewer_available")
-        sponsors = self.raw("supplier").filter("s_nationkey <> 3").selectExpr("concat('s', CAST(s_suppkey AS STRING)) AS id", "concat(lower(s_name), '@mail.test') AS email", "'x' AS password_hash", "CAST(NULL AS STRING) AS google_id", "'sponsor' AS role", "CASE WHEN s_nationkey = 4 THEN '' ELSE s_name END AS name", "CASE WHEN s_nationkey < 12 THEN '' ELSE concat(s_name, ' Inc') END AS organization", "CAST(NULL AS STRING) AS title", "CAST(NULL AS STRING) AS avatar", "timestamp_seconds(1577836800 + s_suppkey * 60) AS created_at", "concat('n', CAST(s_nationkey AS STRING)) AS country", "false AS reviewer_available")
+        sponsors = self.raw("supplier").selectExpr("concat('s', CAST(s_suppkey + 3 AS STRING)) AS id", "concat(lower(s_name), '@mail.test') AS email", "'x' AS password_hash", "CAST(NULL AS STRING) AS google_id", "'sponsor' AS role", "CASE WHEN s_nationkey = 4 THEN '' ELSE s_name END AS name", "CASE WHEN s_nationkey < 12 THEN '' ELSE concat(s_name, ' Inc') END AS organization", "CAST(NULL AS STRING) AS title", "CAST(NULL AS STRING) AS avatar", "timestamp_seconds(1577836800 + s_suppkey * 60) AS created_at", "concat('n', CAST(s_nationkey AS STRING)) AS country", "false AS reviewer_available")
         return people.unionByName(sponsors)
 
     @cached_property
@@ -103,7 +104,7 @@ class Tables:
 _LINE = "concat(l_orderkey, '_', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', l_extendedprice)"
 #: The tables above, for DuckDB.
 CTES = {
-    "users": "SELECT 'u' || c_custkey AS id, lower(c_name) || '@mail.test' AS email, CASE WHEN c_nationkey = 3 THEN 'g' END AS google_id, CASE WHEN c_nationkey < 5 THEN 'organizer' ELSE 'professional' END AS role, c_name AS name, nullif(c_mktsegment, 'BUILDING') AS organization, CASE WHEN c_nationkey < 8 THEN 'Dr.' END AS title, CASE WHEN c_nationkey > 2 THEN 'n' || c_nationkey END AS country, c_acctbal > 5000 AS reviewer_available FROM customer UNION ALL SELECT 's' || s_suppkey, lower(s_name) || '@mail.test', NULL, 'sponsor', CASE WHEN s_nationkey = 4 THEN '' ELSE s_name END, CASE WHEN s_nationkey < 12 THEN '' ELSE s_name || ' Inc' END, NULL, 'n' || s_nationkey, false FROM supplier WHERE s_nationkey <> 3",
+    "users": "SELECT 'u' || c_custkey AS id, lower(c_name) || '@mail.test' AS email, CASE WHEN c_nationkey = 3 THEN 'g' END AS google_id, CASE WHEN c_nationkey < 5 THEN 'organizer' ELSE 'professional' END AS role, c_name AS name, nullif(c_mktsegment, 'BUILDING') AS organization, CASE WHEN c_nationkey < 8 THEN 'Dr.' END AS title, CASE WHEN c_nationkey > 2 THEN 'n' || c_nationkey END AS country, c_acctbal > 5000 AS reviewer_available FROM customer UNION ALL SELECT 's' || (s_suppkey + 3), lower(s_name) || '@mail.test', NULL, 'sponsor', CASE WHEN s_nationkey = 4 THEN '' ELSE s_name END, CASE WHEN s_nationkey < 12 THEN '' ELSE s_name || ' Inc' END, NULL, 'n' || s_nationkey, false FROM supplier",
     "conferences": "SELECT 'c' || p_partkey AS id, p_brand AS organizer_id, p_name AS title FROM part",
     "submissions": "SELECT 'x' || o_orderkey AS id, 'u' || o_custkey AS submitter_id, 'c' || (o_orderkey % 190) AS conference_id, 'Conf ' || (o_orderkey % 190) AS conference_title, 'Paper ' || o_orderkey AS title, o_orderpriority, o_orderstatus, o_orderdate AS submission_date, CASE o_orderstatus WHEN 'F' THEN 'Accepted for Oral Presentation' WHEN 'P' THEN 'Revisions Requested' ELSE 'Submitted' END AS status FROM orders",
     "reviews": f"SELECT {_LINE} AS id, 'x' || l_orderkey AS submission_id, 's' || l_suppkey AS reviewer_id, l_quantity, l_linenumber, l_shipdate AS created_at, CASE l_returnflag WHEN 'A' THEN 'Accept' WHEN 'R' THEN 'Reject' ELSE 'Minor Revision' END AS recommendation FROM lineitem",

@@ -175,7 +175,8 @@ def feedback_summaries(feedback: DataFrame, conferences: DataFrame) -> DataFrame
 def organizer_feed(actions: DataFrame, submissions: DataFrame, users: DataFrame, conferences: DataFrame, organizer: str | None = None) -> DataFrame:
     """Interest actions and submissions for an organizer's conferences, or each one's, newest first; columns that one kind lacks are null.
 
-    The conferences come by semi or inner join, so that an organizer without any has an empty feed. Ids of the feed have a prefix of the kind.
+    The conferences come by inner join, so that an organizer without any has an empty feed. All feeds at once are placed in runs on disk.
+    Ids of the feed have a prefix of the kind.
     """
     own = conferences.select("organizer_id", F.col("id").alias("conference_id"))
     if organizer is not None:
@@ -184,7 +185,7 @@ def organizer_feed(actions: DataFrame, submissions: DataFrame, users: DataFrame,
     interest = actions.join(own, "conference_id").select("organizer_id", F.concat(F.lit("cia_"), "id").alias("id"), "kind", F.col("user_id").alias("actor_id"), "conference_title", F.col("created_at").alias("at"))
     sent = submissions.join(own, "conference_id").select("organizer_id", F.concat(F.lit("sub_"), "id").alias("id"), F.lit("abstract_submission").alias("kind"), F.col("submitter_id").alias("actor_id"), "conference_title", F.col("submission_date").alias("at"), F.col("title").alias("submission_title"))
     feed = interest.unionByName(sent, allowMissingColumns=True).join(who, "actor_id")
-    return newest_first(feed, "organizer_id", "at", "id").drop("actor_id")
+    return newest_first(feed, "organizer_id", "at", "id", few=organizer is None).drop("actor_id")
 
 
 def attended(registrations: DataFrame, conferences: DataFrame) -> DataFrame:

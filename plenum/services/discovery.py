@@ -34,9 +34,25 @@ class Search:
     brochure: bool = False
     city_map: bool = False
 
-    def active(self) -> int:
-        """How many facets are in use, the keyword apart."""
-        return sum((self.industry != ALL, self.cfp_status != ALL, bool(self.location), bool(self.formats), self.since is not None, self.until is not None, self.price_least is not None or self.price_most is not None, self.accommodation, self.brochure, self.city_map))
+
+def active_facets(searches: DataFrame) -> Column:
+    """How many facets are in use in a row of saved searches (columns named as in Search; those that are missing are not in use), the keyword apart.
+
+    Null, empty and 'All' let everything pass; either price bound uses the one price facet.
+    """
+    def used(name: str) -> Column:
+        if name not in searches.columns:
+            return F.lit(False)
+        kind = dict(searches.dtypes)[name]
+        if kind == "boolean":
+            return F.coalesce(F.col(name), F.lit(False))
+        if kind.startswith("array"):
+            return F.coalesce(F.size(name) > 0, F.lit(False))
+        return F.col(name).isNotNull() & ~F.col(name).isin("", ALL) if kind == "string" else F.col(name).isNotNull()
+
+    single = ("industry", "cfp_status", "location", "formats", "since", "until", "accommodation", "brochure", "city_map")
+    facets = [used(c) for c in single] + [used("price_least") | used("price_most")]
+    return reduce(lambda x, y: x + y, [f.cast("int") for f in facets])
 
 
 def _holds(text: Column, query: str) -> Column:

@@ -72,3 +72,24 @@ def test_ranks_of_large_whole_numbers(spark):
     down = {r.v: r["rank"] for r in nested.ranked(t, "v", descending=True).collect()}
     assert up == {5: 1, 2**60: 2, 2**60 + 1: 3, 2**60 + 2: 4, 2**60 + 3: 5, None: 6}
     assert down == {2**60 + 3: 1, 2**60 + 2: 2, 2**60 + 1: 3, 2**60: 4, 5: 5, None: 6}
+
+
+def test_places_in_runs(spark):
+    """The same places as a window gives, with one owner that has most rows, null owners and values, and ties."""
+    from plenum.operators.ordering import newest_first, placed, placed_in_runs
+
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 9 = 2 THEN NULL ELSE concat('o', id % 7) END AS owner", "IF(id % 11 = 0, NULL, id * 37 % 101) AS at", "'x' AS _n").repartition(6, "id")
+    order = (F.col("at").desc_nulls_last(), F.col("id").desc())
+    want = {(r.id, r.owner, r.place) for r in placed(rows, ["owner"], *order).collect()}
+    assert {(r.id, r.owner, r.place) for r in placed_in_runs(rows, ["owner"], *order).collect()} == want
+    assert {(r.id, r.owner, r.place) for r in newest_first(rows, "owner", "at", "id", few=True).collect()} == want
+    assert placed_in_runs(rows.limit(0), ["owner"], *order).count() == 0
+    tied = placed_in_runs(rows.withColumn("same", F.lit(1)), ["same"], F.col("same")).select("place").distinct()
+    assert tied.count() == 3000
+
+
+def test_active_facets(spark):
+    from plenum.services.discovery import active_facets
+
+    t = spark.createDataFrame([("All", "", None, [], False, None), ("x", "Rome", 5, ["Online"], True, None), (None, None, None, None, None, None)], "industry string, location string, price_most int, formats array<string>, brochure boolean, since date").withColumn("keyword", F.lit("k"))
+    assert [r[0] for r in t.select(active_facets(t)).collect()] == [0, 5, 0]
