@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.sources.tables import shared_folder
+
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -16,18 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that cut() wrote in this process and nothing has discarded yet, in order; what is left when the process ends is deleted then.
+WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share; where the session names none, a local one if all runs in one process, else an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"{tempfile.gettempdir()}/plenum-checkpoint"
-    return folder.rstrip("/")
+    return shared_folder(spark)
 
 
-#: Folders that cut() wrote in this process and nothing has discarded yet, in order.
-WRITTEN: list[str] = []
+def own(path: str) -> None:
+    """Lists a folder for discard(), and for the end of the process."""
+    if not WRITTEN:
+        atexit.unregister(_discard_all)
+        atexit.register(_discard_all)
+    WRITTEN.append(path)
+
+
+def _discard_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session, or its JVM, may be gone
+            discard(spark, WRITTEN)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,8 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
     Results are read from these tables lazily, so only the caller knows when they can go: see discard().
     """
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    own(path)
     df.write.parquet(path)
-    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, cut, join_counted, let, scratch
+from .common import cut, join_counted, let, own, scratch
 
 #: Levels in a band; a block has 2**BITS nodes.
 BITS = 10
@@ -123,7 +123,7 @@ def build(leaves: DataFrame, most: int) -> Store:
     path = f"{scratch(leaves.sparkSession)}/{uuid.uuid4().hex}"
     store = Store(leaves.sparkSession.createDataFrame([], _NODES), path, most)
     below = leaves
-    WRITTEN.append(path)
+    own(path)
     for low in store.bands():
         blocks = below.groupBy("tree", "n", F.shiftright("pos", BITS).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("nodes"))
         rows = blocks.select("tree", "n", "block", F.posexplode(_levels(F.col("nodes.digest"), climbs(F.col("n"), low))).alias("up", "digests"))
