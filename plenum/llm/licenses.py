@@ -8,15 +8,17 @@ in a block if the block holds at least ``threshold`` of the template's distinct
 words. The join is exact: the words of a template are ordered by their frequency
 over all documents, the rarest first, and
 
-* prefix filter: a block without any of the |T| - need + 1 rarest words of T can't reach ``need``;
-* length filter: a block with fewer than ``need`` words can't either;
-* positional filter: if the first shared word of T stands at position i, at most |T| - i words are shared;
+* prefix filter: a block without any of the |T| - need + 1 rarest words of T can't reach ``need``, so an inverted
+  table of these words gives a block the templates to look at, and no others;
+* length filter: a block with fewer than ``need`` words of the templates can't either;
+* positional filter: if the first shared word stands at place i of T and at place j of the block's words in the same
+  order, at most 1 + min(|T| - i - 1, |B| - j - 1) words are shared;
 
 before the shared words are counted. Of templates that are near-equal
 themselves (a license and its variant), the one with the higher score counts in
-a block, of equal scores the one with more words. The templates are a parameter and bounded,
-so they stand as literals in the plan and blocks are not shuffled. All steps
-are built-in expressions.
+a block, of equal scores the one with more words. The templates are a parameter
+and bounded, so their table is a literal of the plan and blocks are not
+shuffled. All steps are built-in expressions.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let
+from .license_texts import TEMPLATES
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -37,20 +40,6 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Templates of the join: label and text.
-TEMPLATES = (
-    ("agpl", "licensed under the GNU Affero General Public License"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution license"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial license"),
-    ("gpl", "licensed under the GNU General Public License"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "This source code form is subject to the terms of the Mozilla Public License"),
-)
 THRESHOLD = 0.9
 #: The templates are literals of the plan; more words than this are refused.
 MOST_WORDS = 20_000
@@ -98,15 +87,36 @@ def _blocks(text: Column, flat: Column, longest: int) -> Column:
     return let(lines, lambda joined: F.when(several(joined), F.concat(paragraphs(joined), let(F.split(flat, " "), windows))).otherwise(paragraphs(joined)))
 
 
-def _similar(block: Column, words: list[str], need: int) -> Column:
-    """block: array of distinct words. The shared fraction of a template's words, null below need."""
-    prefix = words[: len(words) - need + 1]
-    array = lambda ws: F.array(*[F.lit(w) for w in ws])
-    # Position of the first shared word in the template's order, among the prefix.
-    first = F.aggregate(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(prefix)]), F.lit(len(words)), lambda at, x: F.when((at == len(words)) & F.array_contains(block, x["w"]), x["i"]).otherwise(at))
-    shared = F.size(F.array_intersect(block, array(words)))
-    passes = (F.size(block) >= need) & F.arrays_overlap(block, array(prefix))
-    return F.when(passes, F.when(len(words) - first >= need, F.when(shared >= need, shared / float(len(words)))))
+def _array(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _scored(block: Column, ordered: list[tuple[str, list[str], int]], vocabulary: list[str]) -> Column:
+    """block: array of distinct words. Struct t (number of the template), score of each template that the block reaches need of.
+
+    ordered: label, words (the rarest first) and need of each template; vocabulary: all their words in the same order.
+    """
+    prefixes: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, words, need) in enumerate(ordered):
+        for i, w in enumerate(words[: len(words) - need + 1]):
+            prefixes.setdefault(w, []).append((t, i))
+    place = lambda t, i: F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"))
+    inverted = F.create_map(*[x for w, at in prefixes.items() for x in (F.lit(w), F.array(*[place(t, i) for t, i in at]))])
+    table = F.array(*[F.struct(_array(words).alias("words"), F.lit(need).alias("need")) for _, words, need in ordered])
+
+    def of(own: Column) -> Column:  # the block's words that templates have, the rarest first
+        hits = F.flatten(F.transform(own, lambda w, j: F.transform(F.coalesce(F.try_element_at(inverted, w), F.array().cast("array<struct<t:int,i:int>>")), lambda x: F.struct(x.t.alias("t"), x.i.alias("i"), j.alias("j")))))
+
+        def one(first: Column) -> Column:
+            template = F.get(table, first.t)
+            size = F.size(template.words)
+            may = (F.size(own) >= template.need) & (1 + F.least(size - first.i - 1, F.size(own) - first.j - 1) >= template.need)
+            return F.struct(first.t.alias("t"), F.when(may, let(F.size(F.array_intersect(own, template.words)), lambda shared: F.when(shared >= template.need, shared / size))).alias("score"))
+
+        firsts = let(hits, lambda h: F.transform(F.array_distinct(F.transform(h, lambda x: x.t)), lambda t: F.get(F.filter(h, lambda x: x.t == t), F.lit(0))))
+        return F.filter(F.transform(firsts, one), lambda x: x.score.isNotNull())
+
+    return let(F.array_intersect(_array(vocabulary), block), of)
 
 
 def _rivals(ordered: list[tuple[str, list[str], int]], threshold: float) -> list[list[int]]:
@@ -151,16 +161,19 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     blocks = F.transform(F.filter(_blocks(F.col("text"), F.col("flat"), longest), lambda b: F.arrays_overlap(b, any_rare)), F.array_distinct)
     may = reduce(lambda a, b: a | b, [F.contains(padded, F.lit(f" {w} ")) for w in rare])
     blocks = F.when(may, blocks).otherwise(F.array().cast("array<array<string>>"))
-    scores = F.transform("blocks", lambda b: F.array(*[F.coalesce(_similar(b, ws, need), F.lit(0.0)) for _, ws, need in ordered]))
-    near = _rivals(ordered, threshold)
+    traits = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(words)).alias("size"), F.array(*[F.lit(j) for j in near]).cast("array<int>").alias("near")) for (label, words, _), near in zip(ordered, _rivals(ordered, threshold), strict=True)])
+
+    def best(scored: Column) -> Column:
+        def beaten(x: Column) -> Column:
+            own = F.get(traits, x.t)
+            better = lambda y: F.array_contains(own.near, y.t) & ((y.score > x.score) | (y.score == x.score) & (F.get(traits, y.t)["size"] > own["size"]))
+            return F.exists(scored, better)
 
-    def beaten(a: Column, i: int) -> Column:
-        better = [(F.get(a, j) > F.get(a, i)) | ((F.get(a, j) == F.get(a, i)) & F.lit(len(ordered[j][1]) > len(ordered[i][1]))) for j in near[i]]
-        return reduce(lambda x, y: x | y, better, F.lit(False))
+        return F.transform(F.filter(scored, lambda x: ~beaten(x)), lambda x: F.struct(F.get(traits, x.t).label.alias("label"), x.score.alias("score")))
 
-    best = F.transform(scores, lambda a: F.array(*[F.struct(F.lit(label).alias("label"), F.when(beaten(a, i), 0.0).otherwise(F.get(a, i)).alias("score")) for i, (label, _, _) in enumerate(ordered)]))
     none = F.array().cast("array<struct<label:string,score:double>>")
-    found = F.when(F.size("blocks") > 0, F.array_distinct(F.filter(F.flatten(best), lambda x: x["score"] > 0))).otherwise(none)
+    order = sorted(vocabulary, key=lambda w: (often[w], w))
+    found = F.when(F.size("blocks") > 0, F.array_distinct(F.flatten(F.transform("blocks", lambda b: let(_scored(b, ordered, order), best))))).otherwise(none)
     rows = rows.withColumns({"n_words": n_words.cast("long"), "places": F.concat(*[places(p, label) for p, label in phrases]), "blocks": blocks})
     return rows.select("doc_id", "n_words", "places", found.alias("found"))
 

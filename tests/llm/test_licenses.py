@@ -105,3 +105,25 @@ def test_twice_the_text_takes_twice_the_time(spark):
         took.append(time.perf_counter() - began)
         assert row.n_base == -(-(n // 2) // 500) and row.labels == "mit"
     assert took[2] < 3 * max(took[1], 1)
+
+
+def test_full_texts_over_several_paragraphs(spark):
+    """Every text of the templates with a holder and a year, wrapped and between other paragraphs, is found by its label and by no other."""
+    import textwrap
+
+    from plenum.llm.license_texts import TEXTS
+
+    rows = []
+    for i, (label, text) in enumerate(TEXTS):
+        wrapped = "\n\n".join(textwrap.fill(p, 60) for p in text.split("\n\n"))
+        rows += [(2 * i, label, f"Copyright 2020 A Holder\n\n{wrapped}"), (2 * i + 1, label, f"{AROUND}\n\n{wrapped}\n\n{AROUND}")]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()}
+    for i, label, _ in rows:
+        assert {x.label for x in found[i].found} == {label} and max(x.score for x in found[i].found) == 1, (label, found[i].found)
+
+
+def test_the_plan_does_not_grow_with_pairs(spark):
+    """Blocks look up templates by their words: as many expressions for many templates as for few, but for literals."""
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    size = lambda n: licenses.scan(docs, templates=[("l", f"first{i} second{i} third{i}") for i in range(n)])._jdf.queryExecution().optimizedPlan().toString().count("array_intersect")
+    assert size(3) == size(60)
