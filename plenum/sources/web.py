@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Results that are asked for, and the shortest query that is sent.
+# The results that are asked for, and the shortest query that is sent; names of parameters and fields are the service's.
 MOST, SHORTEST = 10, 2
 SCHEMA = "query string, place long, title string, link string, snippet string, site string, thumbnail string, error string"
 
