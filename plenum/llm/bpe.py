@@ -43,18 +43,17 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids that merging alone gives."""
     if len(piece) > 256:
         return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    get, never = ranks.get, len(ranks) + 1
-    of_pair = [get(a + b, never) for a, b in zip(parts, parts[1:])]
+    n, get, never = len(piece), ranks.get, len(ranks) + 1
+    ends = list(range(n + 1))  # where tokens start and end
+    of_pair = [get(piece[i : i + 2], never) for i in range(n - 1)]
     while of_pair and (least := min(of_pair)) < never:
         i = of_pair.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del of_pair[i]
+        del ends[i + 1], of_pair[i]
         if i:
-            of_pair[i - 1] = get(parts[i - 1] + parts[i], never)
+            of_pair[i - 1] = get(piece[ends[i - 1] : ends[i + 1]], never)
         if i < len(of_pair):
-            of_pair[i] = get(parts[i] + parts[i + 1], never)
-    return [ranks[p] for p in parts]
+            of_pair[i] = get(piece[ends[i] : ends[i + 2]], never)
+    return [ranks[piece[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -82,6 +81,9 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec(Recent):
     """piece -> ids."""
 
+    #: Prose has very many different words; a generation takes about 50 MB.
+    kept = 200_000
+
     def __init__(self, rank_file: bytes, pattern: str):
         super().__init__()
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
