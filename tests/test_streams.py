@@ -132,7 +132,8 @@ def test_constraints_at_write_time(spark, tmp_path):
     new = spark.createDataFrame(data, "id string, user_id string, conference_id string, type string, created_at timestamp")
     users = spark.createDataFrame([("u1",), ("u1",)], "id string")
     counts = guarded.write(new, "conference_interactions", f"{tmp_path}/w", {"users": users}, F.col("created_at"), F.col("id"), F.col("conference_id"))
-    assert counts == {"rows": 5, "accepted": 1}
+    assert {k: n for k, n in counts.items() if n} == {"rows": 5, "accepted": 1, "id is null": 1, "user_id is null": 1, "type is null": 1, "created_at is null": 1, "type is not allowed": 1, "id is taken": 1, "user_id conference_id type is taken": 1, "user_id is not in users": 1}
+    assert counts.keys() - {"rows", "accepted"} == set(guarded.rules_of(new.columns, "conference_interactions", {"users": users}))
     assert [r.id for r in guarded.accepted(spark, f"{tmp_path}/w").collect()] == ["1"]
     reasons = {(r.id, r.conference_id): r["_reasons"] for r in guarded.quarantined(spark, f"{tmp_path}/w").collect()}
     assert reasons == {("2", "c"): ["user_id conference_id type is taken"], ("3", "c"): ["type is not allowed", "user_id is not in users"], (None, "c"): ["id is null", "user_id is null", "type is null", "created_at is null"], ("1", "d"): ["id is taken"]}
