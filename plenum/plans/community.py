@@ -237,15 +237,21 @@ def sponsor_histories(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT 'application' AS kind, a.id, organizer_id AS owner, row_number() OVER (PARTITION BY organizer_id ORDER BY a.created_at DESC, a.id DESC) - 1 AS place, a.sponsor_id, tier, status, coalesce(nullif(u.organization, ''), nullif(u.name, ''), 'Unknown Sponsor') AS title, round(coalesce(rating, 0.0), 6) AS rating, coalesce(n_reviews, 0) AS reviews, coalesce(approved, 0) AS approved, CAST(NULL AS BIGINT) AS year
+    f"""SELECT 'application' AS kind, a.id, organizer_id AS owner, row_number() OVER (PARTITION BY organizer_id ORDER BY a.created_at DESC, a.id DESC) - 1 AS place, a.sponsor_id, tier, status, coalesce(nullif(u.organization, ''), nullif(u.name, ''), 'Unknown Sponsor') AS title, round(coalesce(rating, 0.0), 6) AS rating, coalesce(n_reviews, 0) AS reviews, coalesce(approved, 0) AS approved, coalesce(md5(h), md5('')) AS history, CAST(NULL AS BIGINT) AS year
     FROM applications a JOIN packages p ON p.id = package_id LEFT JOIN users u ON u.id = a.sponsor_id LEFT JOIN (SELECT sponsor_id, avg(rating) AS rating, count(*) AS n_reviews FROM sponsor_reviews GROUP BY 1) r ON r.sponsor_id = a.sponsor_id
     LEFT JOIN (SELECT sponsor_id, count(*) AS approved FROM applications WHERE status = 'Approved' GROUP BY 1) s ON s.sponsor_id = a.sponsor_id
-    UNION ALL SELECT 'history', NULL, sponsor_id, place, sponsor_id, tier, NULL, title, NULL, NULL, NULL, year FROM ({_HISTORY}) h"""
+    LEFT JOIN (SELECT sponsor_id, string_agg(title || '/' || tier || '/' || year, ',' ORDER BY place) AS h FROM ({_HISTORY}) x GROUP BY 1) g ON g.sponsor_id = a.sponsor_id
+    UNION ALL SELECT 'history', NULL, sponsor_id, place, sponsor_id, tier, NULL, title, NULL, NULL, NULL, NULL, year FROM ({_HISTORY}) h"""
 )
 def applicant_documents(t: Tables) -> DataFrame:
-    """The applications of each organizer, and once per sponsor the history that their sponsor_id refers to."""
-    d = sponsors.applicants(t.applications, t.packages, t.users, t.sponsor_reviews)
-    d = d.select(F.lit("application").alias("kind"), "id", F.col("organizer_id").alias("owner"), "place", "sponsor_id", "tier", "status", F.col("company").alias("title"), F.round("rating", 6).alias("rating"), "reviews", "approved")
+    """The applications of each organizer with a digest of their sponsor's whole history, and the rows of each history."""
+
+    def digest(past: Column) -> Column:
+        told = _joined(past, lambda h: F.concat(h["title"], F.lit("/"), h["tier"], F.lit("/"), h["year"].cast("string")))
+        return F.md5(told.cast("binary"))
+
+    d = sponsors.applicants(t.applications, t.packages, t.users, t.sponsor_reviews, now=F.expr(NOW), told=digest)
+    d = d.select(F.lit("application").alias("kind"), "id", F.col("organizer_id").alias("owner"), "place", "sponsor_id", "tier", "status", F.col("company").alias("title"), F.round("rating", 6).alias("rating"), "reviews", "approved", "history")
     past = sponsors.history(t.applications, t.packages, F.expr(NOW)).select(F.lit("history").alias("kind"), F.col("sponsor_id").alias("owner"), "place", "sponsor_id", "tier", "title", F.col("year").cast("long").alias("year"))
     return d.unionByName(past, allowMissingColumns=True)
 

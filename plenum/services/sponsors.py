@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,17 @@ def history(applications: DataFrame, packages: DataFrame, now: Column) -> DataFr
     return rows.select("sponsor_id", "title", "tier", F.year(F.coalesce("decided_at", now)).alias("year"), "place")
 
 
+def histories(applications: DataFrame, packages: DataFrame, now: Column, told: Callable[[Column], Column] = lambda past: past) -> DataFrame:
+    """sponsor_id, history: each sponsor's history() as a list of place, title, tier and year, or what told makes of that list, once per sponsor."""
+    lists = history(applications, packages, now).groupBy("sponsor_id").agg(F.array_sort(F.collect_list(F.struct("place", "title", "tier", "year"))).alias("history"))
+    return lists.select("sponsor_id", told(F.col("history")).alias("history"))
+
+
 def statistics(applications: DataFrame, reviews: DataFrame, sponsors: DataFrame | None = None) -> DataFrame:
     """sponsor_id, rating, reviews, approved: over all organizers, for the sponsors in the given frame (sponsor_id) or all.
 
     Sponsors are cut by semi join before anything is aggregated. Approved applications count whether or not their package is there.
-    What they were for is history(), one row each: a sponsor's list isn't copied to where the numbers are needed.
+    What they were for is history(), one row each, or histories(), one list per sponsor.
     """
     if sponsors is not None:
         ids = sponsors.select("sponsor_id").distinct()
@@ -54,19 +62,27 @@ def company(users: DataFrame) -> DataFrame:
     return users.select(F.col("id").alias("sponsor_id"), blank_or(F.col("organization"), blank_or(F.col("name"), F.lit(UNKNOWN))).alias("company"))
 
 
-def applicants(applications: DataFrame, packages: DataFrame, users: DataFrame, reviews: DataFrame, organizer: str | None = None) -> DataFrame:
+def applicants(applications: DataFrame, packages: DataFrame, users: DataFrame, reviews: DataFrame, organizer: str | None = None, now: Column | None = None, told: Callable[[Column], Column] = lambda past: past) -> DataFrame:
     """Applications to an organizer's packages, or each one's, newest first, with the sponsors' companies and statistics; unknown sponsors stay.
 
-    sponsor_id refers to the sponsor's history(): that list is there once, not with each of its applications.
+    With now, each has its sponsor's history too: the list of histories(), empty for none, or what told makes of it before it is joined.
+    A list is copied to each of its sponsor's applications, so told should keep what the reader needs; without now, sponsor_id refers to history().
     """
     p = packages.select(F.col("id").alias("package_id"), "organizer_id", "tier", "conference_title")
     if organizer is not None:
         p = p.filter(F.col("organizer_id") == organizer)
     rows = applications.join(p, "package_id")
-    stats = statistics(applications, reviews, rows if organizer is not None else None)
+    asked = rows if organizer is not None else None
+    stats = statistics(applications, reviews, asked)
+    if now is not None:
+        shown = applications if asked is None else applications.join(asked.select("sponsor_id").distinct(), "sponsor_id", "left_semi")
+        stats = stats.join(histories(shown, packages, now, told), "sponsor_id", "left")
     rows = rows.join(stats, "sponsor_id", "left").join(company(users), "sponsor_id", "left")
     zero = {"rating": 0.0, "reviews": 0, "approved": 0}
     rows = rows.fillna(zero).withColumn("company", F.coalesce("company", F.lit(UNKNOWN)))
+    if now is not None:
+        none = F.array().cast("array<struct<place:bigint,title:string,tier:string,year:int>>")
+        rows = rows.withColumn("history", F.coalesce("history", told(none)))
     return newest_first(rows, "organizer_id", "created_at", "id")
 
 

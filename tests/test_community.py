@@ -1,8 +1,10 @@
 """The services over the stand-ins against DuckDB, and on hand-made tables with nulls, ties and missing rows."""
 
+import hashlib
 import os
 from datetime import date, datetime
 from decimal import Decimal
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -86,6 +88,21 @@ def test_sponsors(spark):
     assert [tuple(r) for r in spark.range(1).select(sponsors.verified(F.lit(None).cast("int"), F.lit(None).cast("double")), sponsors.verified(F.lit(2), F.lit(2.9)), sponsors.verification_reason(F.lit(2), F.lit(2.96))).collect()] == [(True, False, "Rated 3.0, below the required 3.0")]
 
 
+def test_applications_tell_the_whole_history(spark):
+    packages = spark.createDataFrame([("p", "org", "Gold", "Conf"), ("q", "other", None, "Lost"), ("r", "other", "Tin", "Fair")], "id string, organizer_id string, tier string, conference_title string")
+    applications = spark.createDataFrame([("1", "p", "s", "Approved", at(1), None), ("2", "p", "t", "Pending", at(2), None), ("3", "q", "s", "Approved", at(1), at(3)), ("4", "r", "s", "Approved", at(1), at(3)), ("5", "gone", "s", "Approved", at(1), at(3)), ("6", "p", "s", "Rejected", at(4), at(4))], "id string, package_id string, sponsor_id string, status string, created_at timestamp, decided_at timestamp")
+    users, reviews = spark.createDataFrame([("s", "", "Name")], "id string, organization string, name string"), spark.createDataFrame([], "sponsor_id string, rating long")
+    given = (applications, packages, users, reviews)
+    lists = {r.id: [(h.place, h.title, h.tier, h.year) for h in r.history] for r in sponsors.applicants(*given, "org", F.expr("TIMESTAMP '2030-01-01'")).collect()}
+    whole = [(0, "Fair", "Tin", 2025), (1, "Lost", None, 2025), (2, "Conf", "Gold", 2030)]
+    assert lists == {"1": whole, "2": [], "6": whole}
+    stand_in = SimpleNamespace(applications=applications, packages=packages, users=users, sponsor_reviews=reviews)
+    rows = community.applicant_documents(stand_in).collect()
+    told, none = (hashlib.md5(x).hexdigest() for x in (b"Fair/Tin/2025,Conf/Gold/2024", b""))  # as in SQL, nothing is told of a line with a null
+    assert {r.id: r.history for r in rows if r.kind == "application"} == {"1": told, "2": none, "3": told, "4": told, "6": told}
+    assert [(r.title, r.approved, r.history) for r in sorted(rows, key=lambda r: r.place) if r.kind == "history"] == [("Fair", None, None), ("Lost", None, None), ("Conf", None, None)]
+
+
 def test_search_edges(spark):
     schema = "id int, title string, description string, topics array<string>, start_day date, end_day date, price_range string"
     t = spark.createDataFrame([(1, "A_b", None, ["x"], None, None, "$1,200 to 3 and 50"), (2, None, "100% off", None, date(2026, 1, 1), date(2026, 1, 2), None)], schema)
