@@ -420,10 +420,12 @@ def message_checks(t: Tables) -> DataFrame:
 # People
 
 
-@query("SELECT id, email, role, name, organization, title, country, coalesce(reviewer_available, false) AS reviewer_available FROM users")
+@query("SELECT id, email, role, name, organization, title, country, coalesce(reviewer_available, false) AS reviewer_available, google_id IS NOT NULL AS external FROM users")
 def public_users(t: Tables) -> DataFrame:
+    """Public users, and whether their account signs in elsewhere."""
     users = t.users.withColumns({c: F.lit(None).cast("string") for c in ("department", "city", "bio")})
-    return people.public(users).select("id", "email", "role", "name", "organization", "title", "country", "reviewer_available")
+    external = F.col("google_id").isNotNull().alias("external")
+    return people.public(users, external).select("id", "email", "role", "name", "organization", "title", "country", "reviewer_available", "external")
 
 
 @query("SELECT id, name, title, organization FROM users")

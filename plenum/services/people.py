@@ -17,10 +17,10 @@ EDITABLE = ("name", "title", "organization", "department", "city", "country", "b
 BIO_MOST, AVATAR_MOST = 600, 2_000_000
 
 
-def public(users: DataFrame) -> DataFrame:
-    """Users without secrets; missing texts stay null, a missing flag is false."""
+def public(users: DataFrame, *more: Column) -> DataFrame:
+    """Users without secrets; missing texts stay null, a missing flag is false. more: further columns of users, which the endpoint doesn't show."""
     flag = F.coalesce(F.col("reviewer_available").cast("boolean"), F.lit(False)).alias("reviewer_available")
-    return users.select("id", "email", "role", "name", "organization", "title", "department", "city", "country", "bio", "avatar", flag)
+    return users.select("id", "email", "role", "name", "organization", "title", "department", "city", "country", "bio", "avatar", flag, *more)
 
 
 def checked(asked: DataFrame, users: DataFrame | None = None) -> DataFrame:

@@ -124,6 +124,14 @@ def test_sign_ups_and_updates(spark):
     assert [r[0] for r in numbers.select(people.number_between(F.col("t"), 0, 100, whole=True)).collect()] == [5.0, None, None, None, None, None, None]
 
 
+def test_public_users_tell_external_accounts(spark):
+    users = spark.createDataFrame([("1", "g", None, None), ("2", None, "", True), ("3", "", "O", False)], "id string, google_id string, organization string, reviewer_available boolean")
+    users = users.selectExpr("*", "'x' AS password_hash", "'e' AS email", "'sponsor' AS role", "'N' AS name", "CAST(NULL AS STRING) AS title", "CAST(NULL AS STRING) AS avatar", "CAST(NULL AS STRING) AS country")
+    found = community.public_users(SimpleNamespace(users=users)).orderBy("id").collect()
+    assert [(r.id, r.external, r.organization, r.reviewer_available) for r in found] == [("1", True, None, False), ("2", False, "", True), ("3", True, "O", False)]
+    assert not {"password_hash", "google_id"} & set(found[0].asDict())
+
+
 def test_avatars(spark):
     urls = spark.createDataFrame([("data:image/png;base64,x",), ("https://x/y.png",), (None,)], "u string")
     assert [r[0] for r in urls.select(people.allowed_avatar(F.col("u"))).collect()] == [True, False, True]
