@@ -6,13 +6,15 @@ time, so state is carried over many batches.
 
 from __future__ import annotations
 
+import time
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plenum.sources import guarded
-from plenum.sources.stored import StoredTable
+from plenum.sources.stored import StoredTable, exists
 from plenum.sources.tables import read, work_folder
 from plenum.streaming import cache, conversations, delivery, frames, recovery
 
@@ -29,23 +31,42 @@ def _sliced(rows: DataFrame, at: str, slices: int = SLICES) -> tuple[DataFrame,
     """rows with _slice, a number from 0 that ascends with the time, and how many there are."""
     low, high, n = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at)), F.count(F.lit(1))).head()
     slices = max(slices, -(-n // SLICE_ROWS))
-    if n == 0:
-        return rows.withColumn("_slice", F.lit(0)), 1
-    return rows.withColumn("_slice", F.floor((F.unix_micros(at) - low) * slices / (high - low + 1)).cast("int")), slices
+    if low is None:
+        return rows.withColumn("_slice", F.lit(0)).filter(F.col(at).isNotNull()), 1
+    return rows.withColumn("_slice", F.floor((F.unix_micros(at) - low) * slices / (high - low + 1)).cast("int")).filter("_slice IS NOT NULL"), slices
 
 
-def _arrive(rows: DataFrame, folder: str) -> None:
-    """Writes one more file into a stream's folder."""
-    rows.coalesce(1).write.mode("append").parquet(folder)
+def _arrive(dealt: DataFrame, slices: range, folder: str) -> None:
+    """Writes one more file into a stream's folder for each of these slices, all that have rows in one pass.
+
+    A stream takes files by their time, so the files get times in the order of
+    their slices; the file system must keep them (local ones and HDFS do).
+    """
+    spark = dealt.sparkSession
+    dealt.repartitionById(slices.stop, "_slice").write.mode("append").partitionBy("_slice").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files, now = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), time.time_ns() // 1_000_000
+    for k in slices:
+        at = f"{folder}/_slice={k}"
+        if not exists(spark, at):
+            spark.createDataFrame([], dealt.drop("_slice").schema).write.parquet(at)
+        for file in files.listStatus(path(at)):
+            files.setTimes(file.getPath(), now + k, -1)
+            if files.getFileStatus(file.getPath()).getModificationTime() != now + k:
+                raise ValueError(f"the file system of {folder} does not keep the times of files, so slices can't be put in order")
+
+
+def _arrived(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    """The slices in a folder as a streaming frame, one a batch; schema: as they were dealt."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).drop("_slice")
 
 
 def by_slices(rows: DataFrame, at: str, slices: int = SLICES) -> DataFrame:
-    """rows as a streaming frame that gets one slice of time a batch."""
+    """rows as a streaming frame that gets one slice of time a batch; rows without a time aren't in any."""
     folder = work_folder(rows.sparkSession)
     dealt, n = _sliced(rows, at, slices)
-    for k in range(n):
-        _arrive(dealt.filter(F.col("_slice") == k).drop("_slice"), folder)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    _arrive(dealt, range(n), folder)
+    return _arrived(rows.sparkSession, dealt.schema, folder)
 
 
 def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +158,13 @@ def message_stream_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = recovery.state_table(spark, f"{folder}/state")
     hour = timedelta(hours=1)
     ends = {r["_slice"]: r["till"] for r in dealt.groupBy("_slice").agg(F.max("created_at").alias("till")).collect()}  # one row per slice
-    stream = lambda: recovery.once(spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/live"))
+    till = spark.createDataFrame(list(ends.items()), "_slice int, _till timestamp")
+    again = F.when(F.col("created_at") > F.col("_till") - hour, F.col("_slice") + 1)
+    twice = dealt.join(F.broadcast(till), "_slice").withColumn("_slice", F.explode(F.array_compact(F.array("_slice", again)))).select(dealt.columns)
+    stream = lambda: recovery.once(_arrived(spark, dealt.schema, f"{folder}/live"))
 
-    def arrive(k: int) -> None:
-        again = (F.col("_slice") == k - 1) & (F.col("created_at") > F.lit(ends[k - 1] - hour)) if k - 1 in ends else F.lit(False)
-        _arrive(dealt.filter((F.col("_slice") == k) | again).drop("_slice"), f"{folder}/live")
+    def arrive(slices: range) -> None:
+        _arrive(twice.filter(F.col("_slice").between(slices.start, slices.stop - 1)), slices, f"{folder}/live")
 
     def run(apply) -> None:
         try:
@@ -150,17 +173,15 @@ def message_stream_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
             if Interrupted.__name__ not in str(e):
                 raise
 
-    arrive(0)
-    arrive(1)
+    arrive(range(2))
     plain = recovery.take_up(table)
     run(_interrupted(plain, 1, before=False))  # done, but not noted as done: comes again
     run(plain)
-    till = ends.get(2, ends.get(1, ends.get(0)))  # the outage: slice 2 is in the snapshot only
-    if till is not None:
-        recovery.refresh(table, sent, till, batch=1)
-    for k in range(3, n):
-        arrive(k)
-    later = recovery.take_up(table, till)
+    snapshot = ends.get(2, ends.get(1, ends.get(0)))  # the outage: slice 2 is in the snapshot only
+    if snapshot is not None:
+        recovery.refresh(table, sent, snapshot, batch=1)
+    arrive(range(3, n))
+    later = recovery.take_up(table, snapshot)
     run(_interrupted(later, 3, before=True))
     run(later)
     return table.rows().select("partner_id", "last_message", F.col("last_time").cast("timestamp_ntz").alias("last_time"), "unread")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,7 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENT = "struct<type:string,partner_id:string,text:string,created_at:timestamp,thread_open:boolean>"
 #: Kinds of events: a message, and what sets a thread's unread count back.
 MESSAGE, RESETS = "message", ("open", "read")
-STATE = "last_message string, last_time timestamp, unread long, read_time timestamp"
+#: Parts that partners are dealt to where state has resets.
+PARTS = 256
+#: Microseconds that stand for no time.
+NEVER = -(2**63)
+_HELD = {"partner_id": pa.string(), "text": pa.string(), "last": pa.int64(), "unread": pa.int64(), "read": pa.int64()}
 
 
 def frames(raw: DataFrame, *kinds: str) -> DataFrame:
@@ -34,32 +40,71 @@ def state(events: DataFrame) -> DataFrame:
     return events.groupBy("partner_id").agg(latest["text"].alias("last_message"), F.max("created_at").alias("last_time"), F.count_if(~F.coalesce("thread_open", F.lit(False))).alias("unread"))
 
 
+def _packed(**columns: np.ndarray) -> bytes:
+    """The state of one part: a row per partner."""
+    table = pa.table({c: pa.array(v, _HELD[c], from_pandas=True) for c, v in columns.items()})
+    with pa.BufferOutputStream() as to:
+        with pa.ipc.new_stream(to, table.schema) as writer:
+            writer.write_table(table)
+        return to.getvalue().to_pybytes()
+
+
+def _unpacked(state: bytes) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(state).read_all()
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def _newest(code: np.ndarray, at: np.ndarray, text: pd.Series) -> np.ndarray:
+    """The places of the last message of each code by time, then text; no text comes first."""
+    order = np.lexsort((pd.factorize(text, sort=True)[0], at, code))
+    return order[np.append(code[order][1:] != code[order][:-1], True)] if len(order) else order
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    text, last, unread, read = held.get if held.exists else (None, None, 0, None)
-    came = pd.concat(batches, ignore_index=True).sort_values(["created_at", "text"], kind="stable", na_position="first")
-    resets = came.loc[came["type"] != MESSAGE, "created_at"]
-    if len(resets) and (read is None or resets.max() > read):
-        read, unread = resets.max().to_pydatetime(), 0 if last is None or resets.max() >= last else unread
-    sent = came[came["type"] == MESSAGE]
-    if len(sent):
-        unread += int(len(sent) if read is None else (sent["created_at"] > read).sum())
-        if last is None or sent["created_at"].iloc[-1] >= last:
-            text, last = sent["text"].iloc[-1], sent["created_at"].iloc[-1].to_pydatetime()
-    held.update((text, last, unread, read))
-    yield pd.DataFrame({"partner_id": [key[0]], "last_message": [text], "last_time": [last], "unread": [unread]})
-
-
-def state_with_resets(events: DataFrame) -> DataFrame:
+    came = pd.concat(batches, ignore_index=True)
+    had = _unpacked(held.get[0]) if held.exists else {"partner_id": np.empty(0, object)}
+    code, partners = pd.factorize(np.concatenate([had["partner_id"], came["partner_id"].to_numpy(object)]), use_na_sentinel=False)
+    known, code = len(had["partner_id"]), code[len(had["partner_id"]) :]  # those of before keep their places
+
+    def before(column: str, other) -> np.ndarray:
+        values = np.full(len(partners), other, object if other is None else np.int64)
+        values[:known] = had[column] if known else values[:known]
+        return values
+
+    text, last, unread, read = before("text", None), before("last", NEVER), before("unread", 0), before("read", NEVER)
+    at, sent = came["at"].to_numpy(), came["sent"].to_numpy(bool)
+    reset = np.full(len(partners), NEVER, np.int64)
+    np.maximum.at(reset, code[~sent], at[~sent])
+    unread[(reset > read) & (reset >= last)] = 0
+    read = np.maximum(read, reset)
+    counted = sent & ((read[code] == NEVER) | (at > read[code]))
+    unread += np.bincount(code[counted], minlength=len(partners))
+    newest = np.flatnonzero(sent)[_newest(code[sent], at[sent], came["text"][sent])]
+    newest = newest[at[newest] >= last[code[newest]]]
+    text[code[newest]], last[code[newest]] = came["text"].to_numpy(object)[newest], at[newest]
+    held.update((_packed(partner_id=partners, text=text, last=last, unread=unread, read=read),))
+    changed = np.unique(code)
+    yield pd.DataFrame({"partner_id": partners[changed], "last_message": text[changed], "last": last[changed], "unread": unread[changed]})
+
+
+def state_with_resets(events: DataFrame, parts: int = PARTS) -> DataFrame:
     """partner_id, last_message, last_time, unread of a streaming frame of messages and resets (type, partner_id, text, created_at); in update mode.
 
     A reset sets the count back; messages after it, by time, count again. Within
     a batch events may come in any order; a batch that arrives late counts its
-    messages against the last reset. A key's events of one batch are sorted in
-    memory, so the source's batches should be bounded (maxFilesPerTrigger).
+    messages against the last reset. Partners are dealt to ``parts`` parts by a
+    hash, and Python is called once per part and batch, with the columns of all
+    its events; the state of a part is one small table. A part's state (about 50
+    bytes and two texts per partner) and its events of one batch are held in
+    memory, so parts should grow with the partners, and the source's batches
+    should be bounded (maxFilesPerTrigger). A stream keeps the number it began with.
     """
-    rows = events.select("partner_id", "type", "text", "created_at").groupBy("partner_id")
-    out = "partner_id string, last_message string, last_time timestamp, unread long"
-    return rows.applyInPandasWithState(_advance, out, STATE, "update", GroupStateTimeout.NoTimeout)
+    at = F.coalesce(F.unix_micros("created_at"), F.lit(NEVER))
+    part = F.pmod(F.xxhash64("partner_id"), F.lit(parts)).cast("int")
+    rows = events.select(part.alias("part"), "partner_id", F.coalesce(F.col("type") == MESSAGE, F.lit(False)).alias("sent"), "text", at.alias("at"))
+    out = "partner_id string, last_message string, last long, unread long"
+    state = rows.groupBy("part").applyInPandasWithState(_advance, out, "held binary", "update", GroupStateTimeout.NoTimeout)
+    return state.select("partner_id", "last_message", F.when(F.col("last") != NEVER, F.timestamp_micros("last")).alias("last_time"), "unread")
 
 
 def latest_of_updates(updates: DataFrame) -> DataFrame:
