@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plenum.operators.tables import deleted, upsert
 
@@ -42,6 +44,17 @@ class StoredTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
+    @cached_property
+    def _schema(self) -> StructType:
+        return self.spark.read.parquet(self.path).schema
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(self._schema).parquet(self.path)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """rows with one task per bucket."""
+        return rows.repartitionById(self.buckets, self._bucket())
+
     def _write(self, rows: DataFrame) -> list[int]:
         """Replaces the partitions that rows have, and returns their numbers."""
         seen = Observation()
@@ -51,20 +64,20 @@ class StoredTable:
 
     def create(self, rows: DataFrame) -> StoredTable:
         """Writes the first rows. A table without rows is a folder with a file of its schema."""
-        if not self._write(rows.repartition(self._bucket())):
+        if not self._write(self._dealt(rows)):
             rows.withColumn(BUCKET, self._bucket()).limit(0).write.mode("overwrite").parquet(f"{self.path}/{BUCKET}=0")
         return self
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop(BUCKET)
+        return self._read().drop(BUCKET)
 
     def _change(self, keys: DataFrame, make: Callable[[DataFrame], DataFrame]) -> list[int]:
         """Rewrites the partitions of these keys by make(their rows); returns them."""
         touched = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())  # at most one number per bucket
         if not touched:
             return []
-        old = self.spark.read.parquet(self.path)
-        left = self._write(make(old.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)).repartition(self._bucket()))
+        old = self._read()
+        left = self._write(self._dealt(make(old.filter(F.col(BUCKET).isin(touched)).drop(BUCKET))))
         for bucket in set(touched) - set(left):  # all of its rows went
             remove(self.spark, f"{self.path}/{BUCKET}={bucket}")
         return touched

@@ -51,17 +51,20 @@ def take_up(table: StoredTable, since=None) -> Callable[[DataFrame, int], None]:
 
     def one(batch: DataFrame, n: int) -> None:
         new = batch if since is None else batch.filter(F.col("created_at") > F.lit(since))
-        changes = _summed(new).withColumn("batch", F.lit(n).cast("long"))
+        changes = _summed(new).withColumn("batch", F.lit(n).cast("long")).persist()  # the stream's state is worked off once, though a merge reads its changes twice
         old = lambda c: F.col(f"old.{c}")
         due = F.coalesce(old("batch") < F.col("new.batch"), F.lit(True))
         later = due & F.coalesce(F.col("new.last_time") >= old("last_time"), F.lit(True))
-        table.merge(changes, {
-            "last_message": F.when(later, F.col("new.last_message")).otherwise(old("last_message")),
-            "last_time": F.when(later, F.col("new.last_time")).otherwise(old("last_time")),
-            "unread": F.coalesce(old("unread"), F.lit(0)) + F.when(due, F.col("new.unread")).otherwise(F.lit(0)),
-            "since": old("since"),
-            "batch": F.greatest(old("batch"), F.col("new.batch")),
-        })
+        try:
+            table.merge(changes, {
+                "last_message": F.when(later, F.col("new.last_message")).otherwise(old("last_message")),
+                "last_time": F.when(later, F.col("new.last_time")).otherwise(old("last_time")),
+                "unread": F.coalesce(old("unread"), F.lit(0)) + F.when(due, F.col("new.unread")).otherwise(F.lit(0)),
+                "since": old("since"),
+                "batch": F.greatest(old("batch"), F.col("new.batch")),
+            })
+        finally:
+            changes.unpersist()
 
     return one
 

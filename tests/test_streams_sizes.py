@@ -1,9 +1,10 @@
 """What a stream costs as its tables grow: passes over the input, Python calls, joins."""
 
 import datetime
+import os
 
 import plenum.plans.streams as streams
-from plenum.streaming import conversations
+from plenum.streaming import conversations, recovery
 
 START = datetime.datetime(2026, 1, 1)
 
@@ -49,3 +50,24 @@ def test_resets_of_many_partners(spark, tmp_path):
             last[partner] = text
     found = {r.partner_id: (r.last_message, r.unread) for r in conversations.latest_of_updates(spark.read.parquet(f"{tmp_path}/rows")).collect()}
     assert found == {p: (last.get(p), n) for p, n in unread.items()}
+
+
+def test_a_batch_is_worked_off_once(spark, tmp_path):
+    """A batch's rows, and so the stream's state, are read once though the merge reads its changes twice; each bucket is written by one task."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            read.add(len(rows))
+            yield rows
+
+    schema = "id string, partner_id string, text string, created_at timestamp, thread_open boolean"
+    sent = spark.createDataFrame([(str(i), f"u{i % 50}", "x", START + datetime.timedelta(seconds=i), i % 2 == 0) for i in range(1000)], schema)
+    table = recovery.state_table(spark, f"{tmp_path}/t", 4)
+    take = recovery.take_up(table)
+    take(sent.mapInPandas(counted, schema), 0)
+    assert read.value == 1000
+    take(sent.mapInPandas(counted, schema), 0)  # again: counts nothing
+    found = {r.partner_id: r.unread for r in table.rows().collect()}
+    assert found == {f"u{i}": 0 if i % 2 == 0 else 20 for i in range(50)}
+    assert all(len([f for f in os.listdir(f"{tmp_path}/t/{d}") if f.endswith(".parquet")]) == 1 for d in os.listdir(f"{tmp_path}/t") if "=" in d)
