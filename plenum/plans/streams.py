@@ -106,8 +106,12 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = F.when(F.col("o_orderpriority") == "1-URGENT", "x").otherwise("")
     connections = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), F.concat(F.col("o_orderkey").cast("string"), stale).alias("connection"), (F.col("o_orderstatus") != "F").alias("open"))
     stream, log = by_slices(events, "created_at"), work_folder(spark)
-    for again in range(2):
-        conversations.run_to_end(stream, f"{log}/{again}", "append", lambda batch, n: delivery.deliver(batch, n, connections, _socket, log))
+    live = delivery.kept(connections)
+    try:
+        for again in range(2):
+            conversations.run_to_end(stream, f"{log}/{again}", "append", lambda batch, n: delivery.deliver(batch, n, live, _socket, log))
+    finally:
+        live.unpersist()
     return delivery.outcomes(spark, log).groupBy("connection").agg(F.count_if("sent").alias("sent"), F.count_if(~F.col("sent")).alias("stale"), F.count_if(F.col("sent").isNull()).alias("unknown"))
 
 

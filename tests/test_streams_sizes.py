@@ -4,7 +4,7 @@ import datetime
 import os
 
 import plenum.plans.streams as streams
-from plenum.streaming import conversations, recovery
+from plenum.streaming import conversations, delivery, recovery
 
 START = datetime.datetime(2026, 1, 1)
 
@@ -71,3 +71,41 @@ def test_a_batch_is_worked_off_once(spark, tmp_path):
     found = {r.partner_id: r.unread for r in table.rows().collect()}
     assert found == {f"u{i}": 0 if i % 2 == 0 else 20 for i in range(50)}
     assert all(len([f for f in os.listdir(f"{tmp_path}/t/{d}") if f.endswith(".parquet")]) == 1 for d in os.listdir(f"{tmp_path}/t") if "=" in d)
+
+
+def _sends(connection, payload):
+    pass
+
+
+def test_connections_are_reduced_once_and_finished_batches_need_no_join(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            read.add(len(rows))
+            yield rows
+
+    schema = "user string, connection string, open boolean"
+    connections = spark.createDataFrame([(f"u{i % 20}", f"c{i}", i % 3 > 0) for i in range(120)], schema)
+    event = lambda b: spark.createDataFrame([(f"u{i}", f"{b}-{i}", START) for i in range(25)], "to string, id string, created_at timestamp")
+    live = delivery.kept(connections.mapInPandas(counted, schema))
+    for n in range(3):
+        delivery.deliver(event(n), n, live, _sends, f"{tmp_path}/log")
+    live.unpersist()
+    assert read.value == 120
+    found = delivery.outcomes(spark, f"{tmp_path}/log")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.batch, r.id, r.connection, r.sent) for r in found.collect()) == sorted((n, f"{n}-{i % 20}", f"c{i}", True) for n in range(3) for i in range(120) if i % 3)
+
+
+def test_outcomes_of_unfinished_batches(spark, tmp_path):
+    """One batch finished, one with claims only, one whose outcomes are there in part without being finished."""
+    claim = lambda n: spark.createDataFrame([("u", str(i), START, "{}", "c") for i in range(3)], "to string, id string, created_at timestamp, payload string, connection string").write.parquet(f"{tmp_path}/claims/batch={n}")
+    for n in range(3):
+        claim(n)
+    assert sorted({r.sent for r in delivery.outcomes(spark, str(tmp_path)).collect()}, key=str) == [None]
+    for n, ids in ((0, range(3)), (2, range(1))):
+        spark.createDataFrame([(str(i), "c", True) for i in ids], "id string, connection string, sent boolean").write.parquet(f"{tmp_path}/outcomes/batch={n}")
+    os.remove(f"{tmp_path}/outcomes/batch=2/_SUCCESS")
+    found = sorted((r.batch, r.id, r.sent) for r in delivery.outcomes(spark, str(tmp_path)).collect())
+    assert found == [(0, "0", True), (0, "1", True), (0, "2", True), (1, "0", None), (1, "1", None), (1, "2", None), (2, "0", True), (2, "1", None), (2, "2", None)]
