@@ -3,8 +3,13 @@
 import datetime
 import os
 
+import duckdb
+import pytest
+
 import plenum.plans.streams as streams
+from plenum.plans import documents
 from plenum.streaming import conversations, delivery, recovery
+from tests.test_catalog import rows as same
 
 START = datetime.datetime(2026, 1, 1)
 
@@ -109,3 +114,16 @@ def test_outcomes_of_unfinished_batches(spark, tmp_path):
     os.remove(f"{tmp_path}/outcomes/batch=2/_SUCCESS")
     found = sorted((r.batch, r.id, r.sent) for r in delivery.outcomes(spark, str(tmp_path)).collect())
     assert found == [(0, "0", True), (0, "1", True), (0, "2", True), (1, "0", None), (1, "1", None), (1, "2", None), (2, "0", True), (2, "1", None), (2, "2", None)]
+
+
+@pytest.mark.parametrize("name", ["cached_answers"])
+def test_many_slices(spark, monkeypatch, name):
+    """Twenty slices: few jobs besides those of the batches, and the rows of the SQL."""
+    monkeypatch.setattr(streams, "SLICE_ROWS", 50)
+    data, found = "/root/testdata/sf0.001", []
+    query, sql = (streams.QUERIES | documents.QUERIES)[name]
+    assert jobs(spark, name, lambda: found.append(query(spark, data))) < 15
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+    theirs = con.sql(f"SELECT {', '.join(found[0].columns)} FROM ({sql})")
+    assert same([tuple(r) for r in found[0].collect()], found[0].columns) == same(theirs.fetchall(), theirs.columns)
