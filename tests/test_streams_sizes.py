@@ -116,7 +116,7 @@ def test_outcomes_of_unfinished_batches(spark, tmp_path):
     assert found == [(0, "0", True), (0, "1", True), (0, "2", True), (1, "0", None), (1, "1", None), (1, "2", None), (2, "0", True), (2, "1", None), (2, "2", None)]
 
 
-@pytest.mark.parametrize("name", ["cached_answers"])
+@pytest.mark.parametrize("name", ["cached_answers", "message_stream_state"])
 def test_many_slices(spark, monkeypatch, name):
     """Twenty slices: few jobs besides those of the batches, and the rows of the SQL."""
     monkeypatch.setattr(streams, "SLICE_ROWS", 50)
